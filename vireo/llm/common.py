@@ -52,6 +52,12 @@ def words_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
+def once(value: Column) -> Column:
+    """A value that the optimizer neither copies nor moves: a filter on what is derived from it
+    stays above it, instead of having the whole derivation repeated below."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21):
     """Runs of a batch's rows with about max_bytes in one binary column, one row at least."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vireo.llm.common import ordered, slices
+from vireo.llm.common import ordered, raw, slices
 from vireo.llm.tokens import default_vocabulary, encoder
 
 
@@ -24,8 +24,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         encode, before = encoder(path), 0
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids = [np.r_[x, end] for x in encode([t or "" for t in part.column(1).to_pylist()])]
+            for part in slices(batch, "text", 8 << 20):
+                ids = [np.r_[x, end] for x in encode(raw(part, "text"))]
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
                 ends = np.cumsum(sizes)
                 tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
@@ -62,10 +62,13 @@ def write_token_orc(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, n_tokens, tokens) of every document in the files: start counts the ids of
     all documents before it, over all files. Filters on id reach the stripes."""
-    rows = spark.read.schema(spark.read.orc(path).schema).orc(path).withColumn("file", F.col("_metadata.file_path"))
+    read = spark.read.orc(path)
+    rows = read.withColumn("file", F.col("_metadata.file_path"))
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids"), F.min(ordered(F.col("id"))).alias("least"))
     before = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     base = files.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
+    if len(read.inputFiles()) <= 50_000:  # a path and a number for each: a few MB
+        base = F.broadcast(base)
     return rows.join(base, "file").select("id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "tokens")
 
 

@@ -88,8 +88,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     def encode(batches):
         run, squeeze = encoder(path), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids = [np.r_[x, end] for x in run([t or "" for t in part.column(2).to_pylist()])]
+            for part in slices(batch, "text", 8 << 20):
+                ids = [np.r_[x, end] for x in run(raw(part, "text"))]
                 packed = [squeeze(x.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes()) for x in ids]  # bytes of one weight together
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["id", "rid", "n", "packed"])
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import re
+import os
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: Texts are cut before each space that a character other than white space follows. Byte-level
-#: pre-tokenisation always starts a token there, so a text's ids are those of its parts in turn.
-_CUT = re.compile(r"(?= \S)")
+#: Bytes that may follow a space at which a text is cut: not white space, and not the first
+#: byte of a character that may be white space (U+0085, U+00A0, U+1680, U+2000 and so on).
+_AFTER = np.ones(256, dtype=bool)
+_AFTER[:0x21] = False
+_AFTER[[0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
 def default_vocabulary() -> str:
@@ -18,23 +21,31 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Ids of whole texts, as uint32 arrays. Parts of a text are encoded by the library once
-    and remembered, `remember` of them at most; then the memory starts afresh."""
+    """Ids of whole texts, as uint32 arrays.
 
-    def __init__(self, path: str, remember: int = 600_000, longest: int = 64):
-        import os
+    Texts are cut before spaces that a character other than white space follows: byte-level
+    pre-tokenisation always starts a token there, so a text's ids are those of its parts in
+    turn. Of many texts the distinct parts are found first; the library encodes those not
+    seen lately. Parts are remembered in two generations of `remember` at most: when the
+    younger is full the older is dropped, so frequent parts stay and rare ones go.
+    """
 
+    def __init__(self, path: str, remember: int = 200_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors have one task a core already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.remember, self.longest = remember, longest
         self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(n)])  # how the vocabulary writes a space
-
-    def _learn(self, plain: list[str], odd: list[str], rare: dict[str, bytes]) -> None:
-        """plain: parts with one space, their first letter; they are encoded as one text, in
-        which each of them starts with the only token that starts with a space."""
+        self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)])  # how the vocabulary writes a space
+
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of new parts. Those whose only space is their first letter are encoded as one
+        text, in which just their first tokens start with a space."""
+        out: dict[str, bytes] = {}
+        plain = [p for p in parts if p.rfind(" ") == 0 and len(p) <= self.longest]
+        odd = [p for p in parts if p.rfind(" ") != 0 or len(p) > self.longest]
         for i in range(0, len(plain), 2048):
             some = plain[i : i + 2048]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -43,30 +54,53 @@ class Encoder:
                 odd += some
                 continue
             blob, at = ids.tobytes(), (4 * at).tolist()
-            self.seen.update(zip(some, [blob[a:b] for a, b in zip(at, [*at[1:], len(blob)])]))
+            out.update(zip(some, [blob[a:b] for a, b in zip(at, [*at[1:], len(blob)])]))
         for i in range(0, len(odd), 2048):
             some = odd[i : i + 2048]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                (self.seen if len(w) <= self.longest else rare)[w] = np.array(e.ids, dtype="<u4").tobytes()
+                out[w] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def _ids(self, parts: list[str]) -> list[bytes]:
         if len(self.seen) > self.remember:
-            self.seen = {}
-        get = self.seen.get
-        split = [_CUT.split(text) for text in texts]
-        found = [list(map(get, parts)) for parts in split]
-        unknown = dict.fromkeys(p for parts, got in zip(split, found) if None in got for p, x in zip(parts, got) if x is None)
-        rare: dict[str, bytes] = {}
-        plain, odd = [], []
-        for p in unknown:
-            (plain if p.rfind(" ") == 0 and len(p) <= self.longest else odd).append(p)
-        self._learn(plain, odd, rare)
-        out = []
-        for parts, got in zip(split, found):
-            if None in got:
-                got = [self.seen[p] if p in self.seen else rare[p] if x is None else x for p, x in zip(parts, got)]
-            out.append(np.frombuffer(b"".join(got), dtype="<u4"))
-        return out
+            self.seen, self.before = {}, self.seen
+        found = list(map(self.seen.get, parts))
+        if None in found:
+            missing = [i for i, x in enumerate(found) if x is None]
+            older = self.before.get
+            new = [p for p in (parts[i] for i in missing) if older(p) is None]
+            learnt = self._learn(new)
+            for i in missing:
+                p = parts[i]
+                found[i] = ids = learnt[p] if p in learnt else older(p)
+                if len(p) <= self.longest:
+                    self.seen[p] = ids
+        return found
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, given as UTF-8."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        data = b"".join(texts)
+        if not data:
+            return [np.empty(0, "<u4")] * len(texts)
+        buf = np.frombuffer(data, np.uint8)
+        begins = np.r_[0, np.cumsum(sizes)]
+        cut = np.zeros(len(buf) + 1, dtype=bool)
+        cut[: len(buf) - 1] = (buf[:-1] == 0x20) & _AFTER[buf[1:]]
+        cut[begins] = True
+        at = np.flatnonzero(cut).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        ids = self._ids(parts.dictionary.to_pylist())
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.r_[0, np.cumsum(n)[:-1]]
+        which = parts.indices.to_numpy(zero_copy_only=False)
+        own = n[which]
+        ends = np.cumsum(own)
+        take = np.repeat(first[which] - (ends - own), own)
+        take += np.arange(len(take))
+        out = flat[take]
+        stops = np.r_[0, ends][np.searchsorted(at, begins)].tolist()  # empty texts have no part
+        return [out[a:b] for a, b in zip(stops, stops[1:])]
 
 
 _encoders: dict[str, Encoder] = {}
