@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vireo.llm import gbt
 from vireo.llm.common import once
-from vireo.llm.spans import let, matches
+from vireo.llm.spans import apart, let, matches
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -123,7 +123,7 @@ def candidates(text: Column, base: Column) -> Column:
     """Wide matches of every kind that touch no strict span, with their features."""
     out = []
     for kind in KINDS:
-        found = F.filter(matches(text, WIDE[kind], _likely_wide(kind, text)), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        found = let(matches(text, WIDE[kind], _likely_wide(kind, text)), lambda wide: apart(wide, base))
         out.append(F.transform(found, _describe(kind, text)))
     return _concat(out)
 
@@ -190,7 +190,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", trained=None) ->
     """docs with p_base and p_spans: sorted arrays of struct<start, no, end> in code points, end
     exclusive, no the kind's place in KINDS. p_base are the matches of the strict patterns
     that pass their checks; p_spans also holds the candidates that touch no strict span and
-    whose margin reaches the limit of their kind; of overlapping ones the best.
+    whose margin reaches the limit of their kind. Spans of different kinds may overlap.
 
     Null text counts as empty and has no spans. Each text is judged whole in its row: no row
     meets another, so ties, repeated rows and hot groups do not matter; the work grows in
@@ -205,12 +205,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", trained=None) ->
     scored = F.transform(F.col("p_wide_"), lambda c: F.struct(c["start"], c["no"], c["end"], F.round(model.margin(lambda f: c["f"][f]), 6).alias("margin")))
     accepted = F.filter(scored, lambda c: c["margin"] >= F.get(limit, c["no"]))
 
-    def best(cs):
-        better = lambda o, c: (o["margin"] > c["margin"]) | ((o["margin"] == c["margin"]) & ((o["start"] < c["start"]) | ((o["start"] == c["start"]) & (o["no"] < c["no"]))))
-        alone = F.filter(cs, lambda c: ~F.exists(cs, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & better(o, c)))
-        return F.transform(alone, lambda c: F.struct(c["start"], c["no"], c["end"]))
-
-    more = F.when(F.size("p_wide_") == 0, F.array().cast("array<struct<start:bigint,no:int,end:bigint>>")).otherwise(let(accepted, best))
+    more = F.transform(accepted, lambda c: F.struct(c["start"], c["no"], c["end"]))
     out = out.withColumn("p_spans", once(F.sort_array(F.concat(F.col("p_base"), more)))).withColumn("p_base", F.sort_array("p_base"))
     return out.drop("p_wide_")
 

@@ -13,19 +13,40 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def running_sums(values: Column) -> Column:
-    """array<long>: sums of an array's first 1, 2, ... elements. Chunks are summed first, so
-    that the work grows with the number of elements, not with its square."""
+def running(values: Column, join) -> Column:
+    """array<long>: join of an array's first 1, 2, ... elements, for an associative join.
+    Chunks are joined first, so that the work grows with the number of elements, not with
+    its square."""
     none = F.array().cast("array<bigint>")
-    safe = lambda a: F.when(F.size(a) > 0, F.element_at(a, -1)).otherwise(F.lit(0).cast("bigint"))
-    sums = lambda a: F.aggregate(a, none, lambda acc, x: F.array_append(acc, safe(acc) + x))
+    own = lambda a: F.aggregate(a, none, lambda acc, x: F.array_append(acc, F.when(F.size(acc) > 0, join(F.element_at(acc, F.greatest(F.size(acc), F.lit(1))), x)).otherwise(x)))
 
     def chunked(v):
         parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda c: F.slice(v, c * CHUNK + 1, CHUNK))
-        inner = F.transform(parts, sums)
-        return let(inner, lambda own: let(sums(F.transform(own, lambda a: F.element_at(a, -1))), lambda ends: F.flatten(F.transform(own, lambda a, c: F.transform(a, lambda x: x + F.when(c > 0, F.get(ends, c - 1)).otherwise(F.lit(0).cast("bigint")))))))
+        late = lambda runs, ends: F.flatten(F.transform(runs, lambda a, c: F.transform(a, lambda x: F.when(c > 0, join(F.get(ends, c - 1), x)).otherwise(x))))
+        return let(F.transform(parts, own), lambda runs: let(own(F.transform(runs, lambda a: F.element_at(a, -1))), lambda ends: late(runs, ends)))
+
+    return F.when(F.size(values) == 0, none).when(F.size(values) <= CHUNK, own(values)).otherwise(let(values, chunked))
+
+
+def running_sums(values: Column) -> Column:
+    return running(values, lambda a, b: a + b)
+
+
+def apart(spans: Column, fixed: Column) -> Column:
+    """The spans (structs with start and end) that touch none of the fixed ones. Both are
+    swept once by place: what touches a span either reaches past its start from before, or
+    starts before its end after it."""
+    least, most = F.lit(-1).cast("bigint"), F.lit(2**62).cast("bigint")
+    row = lambda i, of: lambda x, k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(i).alias("mine"), (k if of else F.lit(-1)).alias("k"))
+    both = F.sort_array(F.concat(F.transform(spans, row(1, True)), F.transform(fixed, row(0, False))))
+
+    def sweep(rows):
+        reach = running(F.transform(rows, lambda r: F.when(r["mine"] == 0, r["end"]).otherwise(least)), F.greatest)
+        ahead = running(F.reverse(F.transform(rows, lambda r: F.when(r["mine"] == 0, r["start"]).otherwise(most))), F.least)
+        clear = lambda reach, ahead: F.filter(rows, lambda r, i: (r["mine"] == 1) & (F.get(reach, i) <= r["start"]) & (F.get(ahead, F.size(rows) - 1 - i) >= r["end"]))
+        return let(reach, lambda a: let(ahead, lambda b: F.transform(clear(a, b), lambda r: F.get(spans, r["k"]))))
 
-    return F.when(F.size(values) == 0, none).when(F.size(values) <= CHUNK, sums(values)).otherwise(let(values, chunked))
+    return F.when((F.size(spans) == 0) | (F.size(fixed) == 0), spans).otherwise(let(both, sweep))
 
 
 def matches(text: Column, pattern: str, only_if: Column) -> Column:
