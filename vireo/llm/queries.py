@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm import cws, mixing, orc_tokens, packing, pii, quality, simhash, substring, url_filter
+from vireo.llm import cws, mixing, orc_tokens, packing, pii, quality, quotes, simhash, substring, url_filter
 from vireo.llm.common import scratch, table
 
 
@@ -24,6 +24,10 @@ def op2_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op3_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-orc")
     orc_tokens.write_token_orc(table(spark, sf_dir, "documents"), path)
@@ -64,7 +68,7 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_url_filter, op2_pareto_mixing, op4_token_orc, op5_simhash_golay, op6_weighted_sampling,
+        op1_url_filter, op2_pareto_mixing, op3_quotation_threads, op4_token_orc, op5_simhash_golay, op6_weighted_sampling,
         op7_boosted_pii, op8_line_first, op9_passage_dedup, op10_cost_packing,
     )
 }
