@@ -58,10 +58,11 @@ def once(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21):
-    """Runs of a batch's rows with about max_bytes in one binary column, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21, size=None):
+    """Runs of a batch's rows with about max_bytes in one binary column, one row at least.
+    size: gives what a value counts for, if not its length."""
     col = batch.column(batch.schema.get_field_index(column))
-    sizes = np.array(pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    sizes = np.array(pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False) if size is None else [size(x) for x in col.to_pylist()], dtype=np.int64)
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > start and total + n > max_bytes:

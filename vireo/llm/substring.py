@@ -178,7 +178,7 @@ def _edges(window: int, kmer: int, block: int = 1 << 18):
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 w = Windows(raw(part, "text"), window, kmer)
                 at = w.anchors()
                 if len(at):
@@ -261,7 +261,7 @@ def _path_windows(window: int, kmer: int, block: int = 1 << 18):
         held, n = [], 0
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for part in slices(batch, "packed", 1 << 19):
+            for part in slices(batch, "packed", 1 << 20, zstandard.frame_content_size):
                 texts = [unpack(x) for x in raw(part, "packed")]
                 w = Windows(texts, window, kmer)
                 spots = part.column(part.schema.get_field_index("spots"))
@@ -319,7 +319,7 @@ def _cut_texts(window: int):
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for part in slices(batch, "packed", 1 << 19):
+            for part in slices(batch, "packed", 1 << 20, zstandard.frame_content_size):
                 out = []
                 for packed, ranges in zip(raw(part, "packed"), part.column(part.schema.get_field_index("ranges")).to_pylist()):
                     words = unpack(packed).split()
