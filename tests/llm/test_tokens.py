@@ -17,9 +17,9 @@ def test_encoder_is_the_library():
     rng = random.Random(6)
     letters = " \n\t\r\x0b\x1c\x85\xa0    ab1é'sß!.,漢<|>"
     texts = [x or "" for x in ODD] + ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(3000)]
-    got = Encoder(PATH, remember=50)([t.encode() for t in texts])
+    got = Encoder(PATH)([t.encode() for t in texts])
     assert [x.tolist() for x in got] == [brute.encoded(t, PATH, 9)[:-1] for t in texts]
-    small = Encoder(PATH, remember=50, longest=3)
+    small = Encoder(PATH, remember=40)
     assert all(small([t.encode()])[0].tolist() == brute.encoded(t, PATH, 9)[:-1] for t in texts[:300])
 
 

@@ -1,4 +1,4 @@
-"""Token ids by the tokenizers library, with a bounded memory of words already seen."""
+"""Token ids by the tokenizers library: each distinct word of a block of texts once."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import os
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Bytes that may follow a space at which a text is cut: not white space, and not the first
@@ -25,57 +26,76 @@ class Encoder:
 
     Texts are cut before spaces that a character other than white space follows: byte-level
     pre-tokenisation always starts a token there, so a text's ids are those of its parts in
-    turn. Of many texts the distinct parts are found first; the library encodes those not
-    seen lately. Parts are remembered in two generations of `remember` at most: when the
-    younger is full the older is dropped, so frequent parts stay and rare ones go.
+    turn. The library encodes the distinct parts of a block of texts; their ids are then
+    laid out for all. From one block to the next are kept, `remember` at most, the parts
+    that the last block had twice or that were kept before and came again.
     """
 
-    def __init__(self, path: str, remember: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, remember: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors have one task a core already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.remember, self.longest = remember, longest
-        self.seen: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.remember, self.known = remember, None
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)])  # how the vocabulary writes a space
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of new parts. Those whose only space is their first letter are encoded as one
-        text, in which just their first tokens start with a space."""
-        out: dict[str, bytes] = {}
-        plain = [p for p in parts if p.rfind(" ") == 0 and len(p) <= self.longest]
-        odd = [p for p in parts if p.rfind(" ") != 0 or len(p) > self.longest]
-        for i in range(0, len(plain), 2048):
-            some = plain[i : i + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = np.flatnonzero(self.starts[ids])
-            if len(at) != len(some) or at[0]:
-                odd += some
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _distinct(self, parts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all parts, and for each part where they start and how many there are. Parts
+        whose only space is their first letter are encoded as one text, in which just their
+        first tokens start with a space; others for themselves."""
+        at = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1]
+        data = np.frombuffer(parts.buffers()[2], np.uint8)
+        spaces = np.add.reduceat(data[: at[-1]] == 0x20, at[:-1], dtype=np.int64)
+        plain = np.flatnonzero((spaces == 1) & (data[at[:-1]] == 0x20))
+        odd = [np.flatnonzero((spaces != 1) | (data[at[:-1]] != 0x20))]
+        flat, where, count = [], [], []
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            ids = self._encode(["".join(parts.take(pa.array(some)).to_pylist())])[0]
+            first = np.flatnonzero(self.starts[ids])
+            if len(first) != len(some) or first[0]:
+                odd.append(some)
                 continue
-            blob, at = ids.tobytes(), (4 * at).tolist()
-            out.update(zip(some, [blob[a:b] for a, b in zip(at, [*at[1:], len(blob)])]))
-        for i in range(0, len(odd), 2048):
-            some = odd[i : i + 2048]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                out[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return out
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        if len(self.seen) > self.remember:
-            self.seen, self.before = {}, self.seen
-        found = list(map(self.seen.get, parts))
-        if None in found:
-            missing = [i for i, x in enumerate(found) if x is None]
-            older = self.before.get
-            new = [p for p in (parts[i] for i in missing) if older(p) is None]
-            learnt = self._learn(new)
-            for i in missing:
-                p = parts[i]
-                found[i] = ids = learnt[p] if p in learnt else older(p)
-                if len(p) <= self.longest:
-                    self.seen[p] = ids
-        return found
+            flat.append(ids)
+            where.append(some)
+            count.append(np.diff(np.r_[first, len(ids)]))
+        rest = np.concatenate(odd)
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            ids = self._encode(parts.take(pa.array(some)).to_pylist())
+            flat += ids
+            where.append(some)
+            count.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        order, n = np.concatenate(where), np.concatenate(count)
+        size, first = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
+        size[order], first[order] = n, np.cumsum(n) - n
+        return np.concatenate(flat), first, size
+
+    def _lookup(self, parts: pa.StringArray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As _distinct, for parts of which some may be known; counts says how often they came."""
+        if self.known is None:
+            flat, first, size = self._distinct(parts)
+            again = counts > 1
+        else:
+            own, flat, first_k, size_k = self.known
+            at = pc.index_in(parts, value_set=own).fill_null(-1).to_numpy()
+            new = np.flatnonzero(at < 0)
+            first, size = first_k[at], size_k[at]
+            if len(new):
+                more, first[new], size[new] = self._distinct(parts.take(pa.array(new)))
+                first[new] += len(flat)
+                flat = np.r_[flat, more]
+            again = (counts > 1) | (at >= 0)
+        keep = np.flatnonzero(again)
+        if len(keep) > self.remember:
+            keep = keep[np.argsort(-counts[keep], kind="stable")[: self.remember]]
+        n = size[keep]
+        begin = np.cumsum(n) - n
+        self.known = (parts.take(pa.array(keep)), flat[np.repeat(first[keep] - begin, n) + np.arange(n.sum())], begin, n) if len(keep) else None
+        return flat, first, size
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, given as UTF-8."""
@@ -90,14 +110,12 @@ class Encoder:
         cut[begins] = True
         at = np.flatnonzero(cut).astype(np.int32)
         parts = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
-        ids = self._ids(parts.dictionary.to_pylist())
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.r_[0, np.cumsum(n)[:-1]]
         which = parts.indices.to_numpy(zero_copy_only=False)
-        own = n[which]
+        flat, first, size = self._lookup(parts.dictionary, np.bincount(which))
+        own = size[which]
         ends = np.cumsum(own)
-        take = np.repeat(first[which] - (ends - own), own)
-        take += np.arange(len(take))
+        take = np.repeat((first[which] - (ends - own)).astype(np.int32), own)
+        take += np.arange(len(take), dtype=np.int32)
         out = flat[take]
         stops = np.r_[0, ends][np.searchsorted(at, begins)].tolist()  # empty texts have no part
         return [out[a:b] for a, b in zip(stops, stops[1:])]
