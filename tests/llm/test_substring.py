@@ -32,3 +32,9 @@ def test_empty_and_test_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     check(spark, rows)
     check(spark, rows[:80] + rows[:30], window=20)
+
+
+def test_oracle(spark, sf_dir):
+    from tests.llm.oracle import same
+
+    same(spark, sf_dir, "op9_passage_dedup")

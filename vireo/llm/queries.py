@@ -72,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_boosted_pii, op8_line_first, op9_passage_dedup, op10_cost_packing,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_pareto_mixing": mixing.ORACLE_SQL, "op8_line_first": quality.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_pareto_mixing": mixing.ORACLE_SQL, "op8_line_first": quality.ORACLE_SQL, "op9_passage_dedup": substring.ORACLE_SQL}

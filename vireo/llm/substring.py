@@ -369,3 +369,18 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     removed = ranges.groupBy("did", "rid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     out = packed.join(removed, ["did", "rid"], "left").select("id", "packed", "ranges").mapInArrow(_cut_texts(window), f"id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
+
+
+#: The same for DuckDB, with the parameters of the registered query: every window is compared.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS did, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+win AS (SELECT r, did, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, min(did) AS least FROM win GROUP BY h),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM win JOIN f USING (h) WHERE did > least),
+words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

@@ -87,7 +87,10 @@ def fit_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "label"
     url = F.col(url_col)
     host, path = host_and_path(url)
     rows = labelled.where(F.col(label_col).isNotNull()).select(url.alias("url_"), F.col(label_col).cast("int").alias("label_"))
-    rows = rows.orderBy(F.xxhash64(F.coalesce("url_", F.lit("")), "label_"), "url_", "label_").limit(sample)
+    rows = rows.withColumn("place_", (F.xxhash64(F.coalesce("url_", F.lit("")), "label_") / F.lit(float(2**64))) + 0.5)
+    n = rows.count()
+    # of n even places, about twice the sample lies below this: tasks need not send more
+    rows = rows.where(F.col("place_") <= F.lit(2.0 * sample / max(n, 1))).orderBy("place_", "url_", "label_").limit(sample)
     host, path = host_and_path(F.col("url_"))
     feats = {**lexical(F.col("url_"), host, path), **_suffixes(host)}
     got = rows.select(*[c.alias(k) for k, c in feats.items()], "label_").collect()  # sample rows at most
