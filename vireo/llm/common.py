@@ -73,6 +73,27 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21, size=No
         yield batch.slice(start)
 
 
+def blocks(batches, column: str, max_bytes: int):
+    """The rows of all batches in runs of about max_bytes in one binary column."""
+    held, total = [], 0
+    for batch in batches:
+        for part in slices(batch, column, max_bytes):
+            n = int(pc.sum(pc.binary_length(part.column(part.schema.get_field_index(column)))).as_py() or 0)
+            if held and total + n > max_bytes:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, total = [], 0
+            held.append(part)
+            total += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on Spark sends Python a few MB at a time, not 64: long texts would else fill the
+    memory of both sides. Operators gather as much as they need."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """A string column's UTF-8 bytes, null as empty."""
     col = batch.column(batch.schema.get_field_index(column))

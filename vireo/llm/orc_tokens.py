@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vireo.llm.common import ordered, raw, slices
+from vireo.llm.common import blocks, ordered, raw, small_batches
 from vireo.llm.tokens import default_vocabulary, encoder
 
 
@@ -17,20 +17,23 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, first, n_tokens, tokens) of every row, in the order of its partition's rows:
     the ids of the whole text, then end_id; first counts the ids of the partition's rows
     before it. Null text counts as empty."""
+    small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([] if end_id is None else [end_id], dtype="<u4")
 
     def run(batches):
         encode, before = encoder(path), 0
-        for batch in batches:
-            for part in slices(batch, "text", 24 << 20):
-                ids = [np.r_[x, end] for x in encode(raw(part, "text"))]
+        for block in blocks(batches, "text", 16 << 20):
+            names, row = block.column(0), 0
+            for group in encode.groups(raw(block, "text")):
+                ids = [np.r_[x, end] for x in group]
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
                 ends = np.cumsum(sizes)
                 tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(before + ends - sizes), pa.array(sizes), tokens], names=["id", "first", "n_tokens", "tokens"])
+                yield pa.RecordBatch.from_arrays([names.slice(row, len(ids)), pa.array(before + ends - sizes), pa.array(sizes), tokens], names=["id", "first", "n_tokens", "tokens"])
                 before += int(ends[-1])
+                row += len(ids)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, first long, n_tokens long, tokens array<int>")
 

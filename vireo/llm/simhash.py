@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vireo.llm.common import LOWER, cut, raw, slices
+from vireo.llm.common import LOWER, cut, raw, slices, small_batches
 from vireo.llm.components import connected_components
 
 #: Fixed value: generator polynomial of the binary Golay code [23, 12, 7].
@@ -218,6 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     only if all are. Equal ids are separate rows. An empty table gives no rows. Other
     columns of docs are ignored.
     """
+    small_batches(docs.sparkSession)
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
     reps = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
     labels = connected_components(near_links(reps, most))

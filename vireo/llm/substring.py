@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vireo.llm.common import cut, mix64, ordered, raw, slices
+from vireo.llm.common import mix64, ordered, raw, slices, small_batches
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WS = np.zeros(256, dtype=bool)
@@ -357,6 +357,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 1 <= kmer < window:
         raise ValueError("an edge must be shorter than a window")
+    small_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias("id"), ordered(F.col(id_col)).alias("did"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()

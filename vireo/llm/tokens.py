@@ -99,10 +99,16 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, given as UTF-8."""
+        return [ids for some in self.groups(texts) for ids in some]
+
+    def groups(self, texts: list[bytes], group_bytes: int = 1 << 21):
+        """The ids of the texts in turn, as lists for runs of texts of about group_bytes: all
+        texts' distinct parts are encoded first, but ids are laid out for one run at a time."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         data = b"".join(texts)
         if not data:
-            return [np.empty(0, "<u4")] * len(texts)
+            yield [np.empty(0, "<u4")] * len(texts)
+            return
         buf = np.frombuffer(data, np.uint8)
         begins = np.r_[0, np.cumsum(sizes)]
         cut = np.zeros(len(buf) + 1, dtype=bool)
@@ -112,13 +118,18 @@ class Encoder:
         parts = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
         which = parts.indices.to_numpy(zero_copy_only=False)
         flat, first, size = self._lookup(parts.dictionary, np.bincount(which))
-        own = size[which]
-        ends = np.cumsum(own)
-        take = np.repeat((first[which] - (ends - own)).astype(np.int32), own)
-        take += np.arange(len(take), dtype=np.int32)
-        out = flat[take]
-        stops = np.r_[0, ends][np.searchsorted(at, begins)].tolist()  # empty texts have no part
-        return [out[a:b] for a, b in zip(stops, stops[1:])]
+        begin_part = np.searchsorted(at, begins)  # empty texts have no part
+        del parts, at, cut, buf, data
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(begins, begins[i] + group_bytes, side="right")) - 1)
+            own = which[begin_part[i] : begin_part[j]]
+            n = size[own]
+            ends = np.cumsum(n)
+            out = flat[np.repeat(first[own] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+            stops = np.r_[0, ends][begin_part[i : j + 1] - begin_part[i]].tolist()
+            yield [out[a:b] for a, b in zip(stops, stops[1:])]
+            i = j
 
 
 _encoders: dict[str, Encoder] = {}
