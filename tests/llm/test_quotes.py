@@ -1,6 +1,6 @@
 import random
 
-from vireo.llm.quotes import link_quotations, parse
+from vireo.llm.quotes import ORACLE_SQL, link_quotations, parse
 
 
 def test_parse_levels_and_own_text():
@@ -47,7 +47,7 @@ def check(spark, rows):
     assert sorted(map(tuple, link_quotations(df).collect()), key=str) == brute(rows)
 
 
-def test_threads(spark, sf_dir):
+def made():
     rng = random.Random(7)
     say = lambda: " ".join(f"w{rng.randrange(2000)}" for _ in range(rng.randint(1, 9)))
     rows, texts = [], {}
@@ -64,7 +64,29 @@ def test_threads(spark, sf_dir):
     rows += [(0, 0, "user", texts[0, 0]), (0, 0, "user", "other"), (None, 1, "user", "> Same closing line"), (3, None, None, None), (50, 0, "x", "> nobody said"), (51, 0, "y", ">" * 5000 + " deep"), (52, 0, "z", "z" * 100000)]
     rows += [(60, i, "u", f"step {i}" + (f"\n> step {i - 1}" if i else "")) for i in range(70)]
     rng.shuffle(rows)
-    check(spark, rows)
+    return rows
+
+
+def test_threads(spark, sf_dir):
+    check(spark, made())
     check(spark, [])
     some = spark.read.parquet(f"{sf_dir}/conversations.parquet").limit(200)
     check(spark, [(r.conv_id, r.turn, r.role, r.text) for r in some.collect()])
+
+
+def test_oracle(spark, sf_dir):
+    from tests.llm.oracle import same
+
+    same(spark, sf_dir, "op3_quotation_threads")
+
+
+def test_oracle_on_quotations():
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    rows = made()
+    con.register("given", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    con.execute("CREATE TABLE conversations AS SELECT CAST(CASE WHEN isnan(conv_id) THEN NULL ELSE conv_id END AS BIGINT) AS conv_id, CAST(CASE WHEN isnan(turn) THEN NULL ELSE turn END AS BIGINT) AS turn, role, text FROM given")
+    got = con.execute(ORACLE_SQL).fetchall()
+    assert sorted(map(tuple, got), key=str) == brute(rows)

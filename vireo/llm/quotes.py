@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vireo.llm.common import LOWER, cut
+from vireo.llm.common import LOWER, cut, small_batches
 
 _MARKS = re.compile(r"(?:[ \t]{0,3}>)*")
-_INTRODUCES = re.compile(r"\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*\Z")
+_INTRODUCES = re.compile(r"(?:wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t\r]*\Z")
 BLOCK, LINE = 0, 1
 
 
@@ -39,8 +39,9 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, int, int, str]]]:
     def close() -> None:
         if block:
             passages.append((level, BLOCK, len(passages), _hash("\n".join(block))))
+            place = len(passages)
             if len(block) > 1:
-                passages.extend((level, LINE, len(passages) + i, _hash(x)) for i, x in enumerate(block))
+                passages.extend([(level, LINE, place + i, _hash(x)) for i, x in enumerate(block)])
             block.clear()
 
     for i, (of, body) in enumerate(lines):
@@ -55,7 +56,7 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, int, int, str]]]:
         if _hash(body) is not None:
             block.append(body)
     close()
-    while own and not own[-1].strip():
+    while own and _hash(own[-1]) is None:
         own.pop()
     return "\n".join(own).lstrip("\n"), passages
 
@@ -111,6 +112,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     of the lowest (level, grain, place). An empty table gives no rows. Other columns are
     ignored.
     """
+    small_batches(messages.sparkSession)
     parsed = cut(parse_messages(messages))
     flat = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("passages").alias("p")).where("p.hash is not null")
     own = flat.where("p.level = 0").select("conv_id", "turn", F.col("p.hash").alias("hash"))
@@ -132,3 +134,53 @@ def link_quotations(messages: DataFrame) -> DataFrame:
         F.col("parent.conv").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"),
         F.coalesce("root.conv", "conv_id").alias("root_conv"), F.coalesce("root.turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
     )
+
+
+#: The same for DuckDB.
+ORACLE_SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+l0 AS (SELECT r, i, ls[i] AS line FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM m)),
+l1 AS (SELECT *, regexp_extract(line, '\A((?:[ \t]{0,3}>)*)', 1) AS marks FROM l0),
+l2 AS (SELECT r, i, length(regexp_replace(marks, '[^>]', '', 'g')) AS level, substr(line, length(marks) + 1) AS body FROM l1),
+l3 AS (
+  SELECT *, regexp_matches(body, '[^\x20\x09-\x0D]') AS has_words,
+    level = 0 AND coalesce(lead(level) OVER (PARTITION BY r ORDER BY i), 0) > 0 AND regexp_matches(body, '(?:wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t\r]*\z') AS intro FROM l2
+),
+l4 AS (
+  SELECT *, CASE WHEN has_words AND NOT intro AND coalesce(lag(has_words AND NOT intro) OVER w, false) AND lag(level) OVER w = level THEN 0 ELSE 1 END AS fresh
+  FROM l3 WINDOW w AS (PARTITION BY r ORDER BY i)
+),
+l5 AS (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS b FROM l4 WHERE has_words AND NOT intro),
+words AS (SELECT r, b, i, level, array_to_string(regexp_extract_all(body, '[^\x20\x09-\x0D]+'), ' ') AS t FROM l5),
+low AS (SELECT r, b, i, level, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM words),
+bl AS (SELECT r, b, any_value(level) AS level, count(*) AS n, md5(string_agg(t, ' ' ORDER BY i)) AS hash FROM low GROUP BY r, b),
+b2 AS (SELECT *, coalesce(sum(CASE WHEN n > 1 THEN n + 1 ELSE 1 END) OVER (PARTITION BY r ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM bl),
+ps AS (
+  SELECT r, level, 0 AS grain, place, hash FROM b2
+  UNION ALL SELECT low.r, low.level, 1, b2.place + row_number() OVER (PARTITION BY low.r, low.b ORDER BY low.i), md5(low.t) FROM low JOIN b2 ON b2.r = low.r AND b2.b = low.b WHERE b2.n > 1
+),
+p AS (SELECT ps.*, conv_id, turn FROM ps JOIN m USING (r) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+here AS (SELECT conv_id, hash, min(turn) AS own_turn FROM p WHERE level = 0 GROUP BY conv_id, hash),
+anywhere AS (SELECT hash, min({'conv': conv_id, 'turn': turn}) AS src FROM p WHERE level = 0 GROUP BY hash),
+found AS (
+  SELECT p.conv_id, p.turn, level, grain, place,
+    CASE WHEN own_turn < p.turn THEN {'conv': p.conv_id, 'turn': own_turn} WHEN src < {'conv': p.conv_id, 'turn': p.turn} THEN src END AS source
+  FROM p LEFT JOIN here ON here.conv_id = p.conv_id AND here.hash = p.hash LEFT JOIN anywhere ON anywhere.hash = p.hash WHERE level > 0
+),
+link AS (
+  SELECT conv_id, turn, min({'level': level, 'grain': grain, 'place': place, 'source': source}).source AS parent, count(DISTINCT CASE WHEN grain = 0 THEN place END) AS n_linked
+  FROM found WHERE source IS NOT NULL GROUP BY conv_id, turn
+),
+walk AS (
+  SELECT conv_id, turn, parent AS top, CAST(1 AS BIGINT) AS depth FROM link
+  UNION ALL SELECT walk.conv_id, walk.turn, link.parent, depth + 1 FROM walk JOIN link ON link.conv_id = walk.top.conv AND link.turn = walk.top.turn
+),
+root AS (SELECT conv_id, turn, arg_max(top, depth) AS top, max(depth) AS depth FROM walk GROUP BY conv_id, turn),
+own AS (SELECT r, string_agg(body, chr(10) ORDER BY i) AS t FROM l3 WHERE level = 0 AND NOT intro GROUP BY r),
+q AS (SELECT r, count(*) AS n FROM bl WHERE level > 0 GROUP BY r)
+SELECT m.conv_id, m.turn, m.role,
+  CASE WHEN regexp_matches(coalesce(own.t, ''), '[^\x20\x09-\x0D]') THEN ltrim(regexp_replace(own.t, '(?:\n[\x20\x09-\x0D]*)?\z', ''), chr(10)) ELSE '' END AS own_text,
+  CAST(coalesce(q.n, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, link.parent.conv AS parent_conv, link.parent.turn AS parent_turn,
+  coalesce(root.top.conv, m.conv_id) AS root_conv, coalesce(root.top.turn, m.turn) AS root_turn, coalesce(root.depth, 0) AS depth
+FROM m LEFT JOIN own USING (r) LEFT JOIN q USING (r) LEFT JOIN link ON link.conv_id = m.conv_id AND link.turn = m.turn LEFT JOIN root ON root.conv_id = m.conv_id AND root.turn = m.turn
+"""
