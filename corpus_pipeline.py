@@ -13,11 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vireo.llm import mixing, packing, pii, quality, simhash
-from vireo.llm.common import scratch, table
+from vireo.llm.common import cut, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _larger_files(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """What a shuffle dealt out, in a third as many files."""
+    return rows.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail go; documents that fail, or lose too much text, go."""
     kept = quality.line_first(docs).where("q_kept")
@@ -27,11 +32,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; of rows with that
     id, if it has several in its group, the one with the least text hash."""
-    rows = docs.withColumn("at", F.xxhash64("doc_id", "text", "lang", "source"))
-    found = simhash.near_duplicates(rows.withColumn("key", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "at")).select("key", "text"), id_col="key")
-    first = found.where("key = component_id").select(F.col("key.id").alias("id_"), F.col("key.at").alias("at_")).distinct()
-    kept = rows.join(first, (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("id_")) & (F.col("at") == F.col("at_")))
-    return kept.dropDuplicates(["id_", "at_"]).select(*COLUMNS)
+    id_ = F.coalesce("doc_id", F.lit(2**63 - 1))
+    rows = docs.withColumn("key", F.struct(id_.alias("id"), F.xxhash64("doc_id", "text", "lang", "source").alias("at")))
+    found = simhash.near_duplicates(rows.select("key", "text"), id_col="key")
+    first = cut(found.where("key = component_id").groupBy("key").agg(F.count("*").alias("n")))
+    kept = rows.join(first.where("n = 1"), "key", "left_semi").select(*COLUMNS)
+    many = first.where("n > 1")
+    if many.isEmpty():
+        return _larger_files(spark, kept)
+    return kept.unionByName(rows.join(many, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +52,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    taken = mixing.mix(docs, keep=("text", "lang", "n_chars"))
-    return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    return _larger_files(spark, mixing.mixed(docs).select(*COLUMNS))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
