@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 
 from tests.llm import brute
-from vireo.llm.mixing import mix
+from vireo.llm.mixing import mix, mixed
 
 
 def targets(size, cycle=(1, 2, 3)):
@@ -55,6 +55,14 @@ def test_hot_small_and_null_sources(spark):
     check(spark, [(1, None, None), (2, "", "x")], 0)
 
 
+def test_rows_of_the_mix(spark):
+    rows = [(i, f"{i} w x " * (1 + i % 5), rng, i) for i in range(300) for rng in [["a", "b", None][i % 3]]] + [(7, "same", "a", 1), (7, "same", "a", 1), (None, "no id", None, None), (9, None, "b", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    want = sorted(str((r.doc_id, r.source)) for r in mix(docs).collect() for _ in range(r.copies))
+    got = mixed(docs)
+    assert got.columns == docs.columns and sorted(str((r.doc_id, r.source)) for r in got.collect()) == want
+
+
 def test_chance_follows_the_target(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 3}") for i in range(6000)], "doc_id long, text string, source string")
     # shares 1/6, 1/3, 1/2 of equal sources: wanted 0.5, 1 and 1.5 times

@@ -44,9 +44,9 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 11, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row's part in the mix: (doc_id, size, source, source_size, target, copies, taken)
-    and the columns of `keep`.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 11) -> DataFrame:
+    """Every row's part in the mix: (doc_id, size, source, source_size, target, copies, taken,
+    text_md5).
 
     Sizes are words. A document of a source with target t and size s is wanted t / s times:
     its whole part is certain, and the rest is drawn. Documents are ranked by
@@ -62,13 +62,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null text has size zero; it is taken as often as its source's whole part says, with
     no words. A null source is a source. Null and equal ids are kept; equal ranks go by id,
-    size and a hash of the text; rows equal in all of them are interchangeable. Sources
+    size and a hash of the text; rows equal in all of them are taken equally often. Sources
     without words have target zero. An empty table gives no rows. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
-        uniform(F.col(id_col), seed).alias("u"), F.md5(text).alias("tie"), *keep,
+        uniform(F.col(id_col), seed).alias("u"), F.md5(text).alias("tie"),
     )
     rows = cut(rows)
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     below = drawn & (F.col("edge").isNull() | (F.col("range") < F.col("edge")))
     ranked = ranked.withColumn("below", F.coalesce(below, F.lit(False)))
     at_edge = ranked.where("chance > 0 and size > 0 and range = edge")
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("odds", F.col("doc_id").isNull(), "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("odds", F.col("doc_id").isNull(), "doc_id", "size", "tie"))  # equal rows together
     settled = at_edge.withColumn("upto", F.col("before") + upto).withColumn("below", F.col("upto") <= F.col("wanted"))
     rest = ranked.where(~((F.col("chance") > 0) & (F.col("size") > 0) & (F.col("range") == F.coalesce("edge", F.lit(-1))))).withColumn("upto", F.lit(None).cast("long"))
     chosen = cut(rest.unionByName(settled))
@@ -115,7 +115,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     joined = chosen.join(close, F.col("source").eqNullSafe(F.col("s_")) & F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("size") == F.col("w_")) & (F.col("tie") == F.col("t_")) & ~F.col("below"), "left")
     drawn_copies = F.when(F.col("below") | F.col("t_").isNotNull(), 1).otherwise(0)
     out = joined.withColumn("copies", (F.col("whole") + drawn_copies).cast("int"))
-    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
+    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("tie").alias("text_md5"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs, with all their columns, as often as mix() takes them. Texts are moved
+    once, to meet their number of copies; mix() itself moves sizes and hashes only."""
+    taken = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
+    taken = taken.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("text_md5").alias("m_text"), F.col("copies").alias("m_copies")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("m_id")) & F.col(source_col).eqNullSafe(F.col("m_source")) & (F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("m_text"))
+    return docs.join(taken, same).withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*docs.columns)
 
 
 #: The same for DuckDB, with the parameters of the registered query: whole windows, no ranges.
@@ -144,7 +153,7 @@ t2 AS (SELECT *, CAST(floor(times) AS BIGINT) AS whole, times - floor(times) AS
 r AS (SELECT d.*, source_size, target, whole, chance, wanted FROM d JOIN t2 ON d.source IS NOT DISTINCT FROM t2.source),
 k AS (
   SELECT *, (u / (1 - u)) / (chance / (1 - chance)) AS odds,
-    sum(size) OVER (PARTITION BY source ORDER BY u, doc_id IS NULL, doc_id, size, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= wanted AS below
+    sum(size) OVER (PARTITION BY source ORDER BY u, doc_id IS NULL, doc_id, size, tie) <= wanted AS below
   FROM r WHERE chance > 0 AND size > 0
 ),
 g AS (SELECT source, CAST(any_value(wanted) - sum(CASE WHEN below THEN size ELSE 0 END) AS DOUBLE) AS gap FROM k GROUP BY source),

@@ -21,7 +21,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies", "text_md5")
 
 
 def op3_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_boosted_pii, op8_line_first, op9_passage_dedup, op10_cost_packing,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_pareto_mixing": mixing.ORACLE_SQL, "op8_line_first": quality.ORACLE_SQL, "op9_passage_dedup": substring.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_pareto_mixing": mixing.ORACLE_SQL, "op3_quotation_threads": quotes.ORACLE_SQL, "op8_line_first": quality.ORACLE_SQL, "op9_passage_dedup": substring.ORACLE_SQL}
