@@ -224,6 +224,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected_components(near_links(reps, most))
     labelled = reps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     labelled = cut(labelled)
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    least = cut(labelled.groupBy("label").agg(F.min("least").alias("component_id")))  # apart from the join, which can then split a hot label
     member = labelled.join(least, "label").select("fp", "component_id")
     return fps.join(member, "fp").select(id_col, "fp", "component_id")
