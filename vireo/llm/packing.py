@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vireo.llm.common import raw, slices
+from vireo.llm.common import blocks, raw, small_batches
 from vireo.llm.tokens import default_vocabulary, encoder
 
 
@@ -65,7 +65,7 @@ def plan(sizes: list[int], capacity: int, linear: float = 1.0, quadratic: float
     return pieces
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 1, capacity: int = 2048, group_bytes: int = 12 << 20, linear: float = 1.0, quadratic: float = 1.0 / 1024) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 1, capacity: int = 2048, group_bytes: int = 24 << 20, linear: float = 1.0, quadratic: float = 1.0 / 1024) -> DataFrame:
     """(id_col, start, length, ids, doc_tokens, sequence_id, offset): the pieces of all
     documents. ids are the piece's token ids as little-endian unsigned 32-bit integers; start
     counts its document's ids before it; in each sequence the offsets run without gaps from 0.
@@ -75,10 +75,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     from the bytes of all texts. Each group leaves less than one sequence of padding.
 
     Null text counts as empty: every row has at least its end id. Repeated rows and ids are
-    packed each for itself. Ties in size go by the order of id and text hash. A text longer
+    packed each for itself. Ties in size go by the hash of id and text. A text longer
     than a group is one row of its group. An empty table gives no rows. Other columns are
     ignored.
     """
+    small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], dtype="<u4")
@@ -87,24 +88,26 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     def encode(batches):
         run, squeeze = encoder(path), zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            for part in slices(batch, "text", 24 << 20):
-                ids = [np.r_[x, end] for x in run(raw(part, "text"))]
+        for block in blocks(batches, "text", 16 << 20):
+            row = 0
+            for group in run.groups(raw(block, "text")):
+                ids = [np.r_[x, end] for x in group]
                 packed = [squeeze(x.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes()) for x in ids]  # bytes of one weight together
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["id", "rid", "n", "packed"])
+                yield pa.RecordBatch.from_arrays([block.column(0).slice(row, len(ids)), block.column(1).slice(row, len(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["id", "rid", "n", "packed"])
+                row += len(ids)
 
     def fill(batches):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
-        t = pa.Table.from_batches(batches)
-        ids, n, packed = t.column(0).combine_chunks(), t.column(2).to_pylist(), raw(t.combine_chunks().to_batches()[0], "packed")
+        t = pa.Table.from_batches(batches).sort_by("rid").combine_chunks().to_batches()[0]
+        ids, n, packed = t.column(0), t.column(2).to_pylist(), raw(t, "packed")
         base = TaskContext.get().partitionId() << 32
         pieces = sorted(plan(n, capacity, linear, quadratic))
         unpack = zstandard.ZstdDecompressor().decompress
         have, tokens = -1, None
-        for i in range(0, len(pieces), 2000):
-            some = pieces[i : i + 2000]
+        for i in range(0, len(pieces), 500):
+            some = pieces[i : i + 500]
             blobs = []
             for d, at, length, _, _ in some:
                 if d != have:
@@ -115,5 +118,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
     coded = rows.mapInArrow(encode, f"id {kind}, rid long, n long, packed binary")
-    dealt = coded.repartition(groups, "rid").sortWithinPartitions("rid", "id")
-    return dealt.mapInArrow(fill, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return coded.repartition(groups, "rid").mapInArrow(fill, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
