@@ -190,7 +190,8 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", trained=None) ->
     """docs with p_base and p_spans: sorted arrays of struct<start, no, end> in code points, end
     exclusive, no the kind's place in KINDS. p_base are the matches of the strict patterns
     that pass their checks; p_spans also holds the candidates that touch no strict span and
-    whose margin reaches the limit of their kind. Spans of different kinds may overlap.
+    whose margin reaches the limit of their kind; where such of several kinds touch, the kind
+    first in KINDS stays. Strict spans of different kinds may overlap.
 
     Null text counts as empty and has no spans. Each text is judged whole in its row: no row
     meets another, so ties, repeated rows and hot groups do not matter; the work grows in
@@ -205,9 +206,13 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", trained=None) ->
     scored = F.transform(F.col("p_wide_"), lambda c: F.struct(c["start"], c["no"], c["end"], F.round(model.margin(lambda f: c["f"][f]), 6).alias("margin")))
     accepted = F.filter(scored, lambda c: c["margin"] >= F.get(limit, c["no"]))
 
-    more = F.transform(accepted, lambda c: F.struct(c["start"], c["no"], c["end"]))
-    out = out.withColumn("p_spans", once(F.sort_array(F.concat(F.col("p_base"), more)))).withColumn("p_base", F.sort_array("p_base"))
-    return out.drop("p_wide_")
+    out = out.withColumn("p_wide_", once(F.transform(accepted, lambda c: F.struct(c["start"], c["no"], c["end"]))))
+    of = lambda no: F.filter("p_wide_", lambda s: s["no"] == no)
+    out = out.withColumn("p_more_", of(0))
+    for no in range(1, len(KINDS)):
+        out = out.withColumn("p_more_", once(F.concat("p_more_", apart(of(no), F.col("p_more_")))))
+    out = out.withColumn("p_spans", once(F.sort_array(F.concat("p_base", "p_more_")))).withColumn("p_base", F.sort_array("p_base"))
+    return out.drop("p_wide_", "p_more_")
 
 
 def listed(spans: Column) -> Column:
