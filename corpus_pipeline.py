@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm import mixing, packing, pii, quality, simhash
+from vireo.llm import mixing, near, packing, pii, quality
 from vireo.llm.common import cut, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,11 +30,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; of rows with that
-    id, if it has several in its group, the one with the least text hash."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with
+    the smallest id stays; of rows with that id, if it has several in its group, the one with the least text hash."""
     id_ = F.coalesce("doc_id", F.lit(2**63 - 1))
     rows = docs.withColumn("key", F.struct(id_.alias("id"), F.xxhash64("doc_id", "text", "lang", "source").alias("at")))
-    found = simhash.near_duplicates(rows.select("key", "text"), id_col="key")
+    found = near.near_copies(rows.select("key", "text"), id_col="key")
     first = cut(found.where("key = component_id").groupBy("key").agg(F.count("*").alias("n")))
     kept = rows.join(first.where("n = 1"), "key", "left_semi").select(*COLUMNS)
     many = first.where("n > 1")
