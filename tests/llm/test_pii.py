@@ -89,3 +89,18 @@ def test_apart(spark):
     for r in df.select("i", apart(F.col("a"), F.col("b")).alias("s")).collect():
         _, a, b = rows[r.i]
         assert sorted(map(tuple, r.s)) == sorted(x for x in a if not any(y[0] < x[1] and x[0] < y[1] for y in b))
+
+
+def test_true_spans_are_proposed_and_found_beside_other_numbers(spark):
+    """Overlapping candidates: what follows a number does not swallow it."""
+    want = {
+        "card 4539.1488.0343.6467 12/27": "4539.1488.0343.6467", "card 4539.1488.0343.6467 2027": "4539.1488.0343.6467", "call 743-555-3824 2027-01-02": "743-555-3824",
+        "host fe80::1 up": "fe80::1", "ping ::1 now": "::1", "mail john.doe at example.com": "john.doe at example.com",
+    }
+    none = F.array().cast("array<struct<start:bigint,no:int,end:bigint>>")
+    df = spark.createDataFrame([(t,) for t in want], "text string")
+    for r in df.select("text", pii.candidates(F.col("text"), none).alias("c")).collect():
+        assert want[r.text] in {r.text[c.start : c.end] for c in r.c}, r.text
+    got = check(spark, list(want)[:3], pii.train(spark))
+    for i, t in enumerate(list(want)[:3]):
+        assert want[t] in [t[s:e] for s, _, e in got[i].p_spans], t

@@ -27,13 +27,17 @@ BASE = {
 }
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-#: Candidates: what might be personal data, whatever surrounds it.
+_HEX = "[0-9A-Fa-f]{1,4}"
+
+#: Candidates: what might be personal data, whatever surrounds it. Of card and phone, runs of
+#: digits and separators: every part of a run with DIGITS digits is a candidate.
 WIDE = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+\x20?(?:@|[\[(]at[\])]|\x20at\x20)\x20?[A-Za-z0-9-]{{1,63}}+(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{{1,63}}+){{1,8}}+",
-    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){11,18}+(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:00)?\(?[0-9](?:[().\x20/-]{0,2}[0-9]){6,14}+(?![0-9A-Za-z])",
+    "ip": rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:{{1,2}}){{2,7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::{_HEX}(?::{_HEX}){{0,6}})(?![0-9A-Za-z:])",
+    "card": r"[0-9][\x20._/0-9-]{11,}+",
+    "phone": r"\(?[0-9][().\x20/0-9-]{6,}+",
 }
+DIGITS = {"card": (12, 19), "phone": (7, 15)}
 _CUES = {
     "email": "mail|contact|write|reach",
     "ip": "ip|host|server|address|addr|ping",
@@ -41,7 +45,7 @@ _CUES = {
     "phone": "tel|phone|call|mobile|cell|fax|whatsapp|ring",
 }
 _AGAINST = "order|invoice|isbn|version|ref|page|section|serial|time|date|sku|part|mac|hash|total|since|between"
-FEATURES = ("kind", "length", "digits", "separators", "groups", "dots", "luhn", "brackets", "date_like", "decimal_like", "grouped_like", "full_hex", "cue", "against")
+FEATURES = ("kind", "length", "digits", "separators", "groups", "dots", "luhn", "brackets", "date_like", "decimal_like", "grouped_like", "full_hex", "double_colon", "zero_first", "number_before", "number_after", "cue", "against")
 
 
 def luhn_ok(digits: Column) -> Column:
@@ -72,9 +76,10 @@ def _likely(kind: str, text: Column) -> Column:
 
 
 def _likely_wide(kind: str, text: Column) -> Column:
+    """A cheap test that every text with a candidate passes."""
     return {
-        "email": text.contains("@") | text.contains("(at)") | text.contains("[at]") | text.contains(" dot "),
-        "ip": text.rlike("[0-9A-Fa-f]:{1,2}[0-9A-Fa-f]{1,4}:"),
+        "email": text.contains("@") | text.contains("at)") | text.contains("at]") | text.contains(" at "),
+        "ip": text.contains("::") | text.rlike("[0-9A-Fa-f]:{1,2}[0-9A-Fa-f]{1,4}:"),
         "card": text.rlike(r"[0-9](?:[\x20._/-]{0,2}[0-9]){11}"),
         "phone": text.rlike(r"[0-9](?:[().\x20/-]{0,2}[0-9]){6}"),
     }[kind]
@@ -94,6 +99,7 @@ def _features(kind: str, text: Column, x: Column) -> Column:
     m, no = x["m"], KINDS.index(kind)
     from_ = F.greatest(x["start"] - 24, F.lit(0))
     context = F.lower(F.substr(text, (from_ + 1).cast("int"), (x["start"] - from_).cast("int")))
+    follows = F.substr(text, (x["end"] + 1).cast("int"), F.lit(3))
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     word = lambda words: context.rlike(rf"(?:\A|[^a-z])(?:e-?)?(?:{words})")
     values = {
@@ -109,6 +115,10 @@ def _features(kind: str, text: Column, x: Column) -> Column:
         "decimal_like": flag(m.rlike(r"\A[0-9]{1,3}(?:[.\x20][0-9]{3})+\z|\A[0-9]+\.[0-9]+\z")),
         "grouped_like": flag(m.rlike(r"\A\(?[0-9]{3}\)?[.\x20/-]{0,2}[0-9]{3}[.\x20-][0-9]{4}\z|\A[0-9]{4}([\x20._/-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\z")),
         "full_hex": flag(m.rlike(r"\A(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\z|\A[0-9A-Fa-f]{3,4}:.*::")),
+        "double_colon": flag(m.contains("::")),
+        "zero_first": flag(m.rlike(r"\A\(?0")),
+        "number_before": flag(context.rlike(r"[0-9][().\x20_/-]{0,2}\z")),
+        "number_after": flag(follows.rlike(r"\A[().\x20_/-]{0,2}[0-9]")),
         "cue": flag(word(_CUES[kind])),
         "against": flag(word(_AGAINST)),
     }
@@ -119,18 +129,49 @@ def _describe(kind: str, text: Column):
     return lambda x: _features(kind, text, x)
 
 
+def _parts(kind: str, text: Column, runs: Column) -> Column:
+    """Of runs of digits and separators every part that starts and ends with whole groups of
+    digits, has an admissible number of them and no more than two separators in turn."""
+    least, most = DIGITS[kind]
+
+    def of_run(r):
+        m, phone = r["m"], kind == "phone"
+        beside = lambda at, what: F.substr(text, at.cast("int"), F.lit(1)).rlike(what)
+        tied = (r["start"] > 0) & beside(r["start"], "[0-9A-Za-z+]") if phone else F.lit(False)
+        goes_on = beside(r["end"] + 1, "[0-9A-Za-z]") if phone else F.lit(False)
+
+        def part(g, e):
+            opened = F.when((g["start"] > 0) & (F.substr(m, g["start"].cast("int"), F.lit(1)) == "("), 1).otherwise(0) if phone else F.lit(0)
+            return let(g["start"] - opened, lambda s: F.struct(s.alias("s"), e["end"].alias("e"), F.substr(m, (s + 1).cast("int"), (e["end"] - s).cast("int")).alias("m")))
+
+        def fits(x, tied, goes_on):
+            n = F.length(_digits(x["m"]))
+            enough = (n >= least) & (n <= (F.when(x["m"].startswith("00"), most + 2).otherwise(most) if phone else most))
+            return enough & ~x["m"].rlike("[^0-9]{3}") & ~(tied & (x["s"] == 0)) & ~(goes_on & (x["e"] == F.length(m)))
+
+        pairs = lambda groups: F.flatten(F.transform(groups, lambda g, i: F.transform(F.slice(groups, i + 1, most + 2), lambda e: part(g, e))))
+        every = let(matches(m, "[0-9]++", F.lit(True)), pairs)
+        chosen = let(F.struct(tied.alias("t"), goes_on.alias("g")), lambda o: F.filter(every, lambda x: fits(x, o["t"], o["g"])))
+        return F.transform(chosen, lambda x: F.struct((r["start"] + x["s"]).alias("start"), (r["start"] + x["e"]).alias("end"), x["m"].alias("m")))
+
+    return F.flatten(F.transform(runs, of_run))
+
+
 def candidates(text: Column, base: Column) -> Column:
-    """Wide matches of every kind that touch no strict span, with their features."""
+    """Wide spans of every kind that touch no strict span, with their features; they overlap."""
     out = []
     for kind in KINDS:
-        found = let(matches(text, WIDE[kind], _likely_wide(kind, text)), lambda wide: apart(wide, base))
+        found = matches(text, WIDE[kind], _likely_wide(kind, text))
+        if kind in DIGITS:
+            found = _parts(kind, text, found)
+        found = let(found, lambda wide: apart(wide, base))
         out.append(F.transform(found, _describe(kind, text)))
     return _concat(out)
 
 
-def examples(n: int = 3000, seed: int = 5) -> list[tuple[str, int, int]]:
-    """Made sentences (text, kind, label), one candidate in each: personal data in unusual
-    form, and numbers that only look like it."""
+def examples(n: int = 3000, seed: int = 5) -> list[tuple[str, int, int, int, int]]:
+    """Made sentences (text, kind, label, start, end), with the place of personal data in
+    unusual form, or of what only looks like it; other numbers may follow."""
     rng = random.Random(seed)
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(2, 8)))
@@ -158,22 +199,24 @@ def examples(n: int = 3000, seed: int = 5) -> list[tuple[str, int, int]]:
             body = spaced(luhn(16, True), "._/") if label else rng.choice([spaced(luhn(16, False), "._/"), f"{num(4)}.{num(4)}.{num(4)}", num(rng.randint(13, 19)), f"{rng.randint(1900, 2029)}/{num(2)}/{num(2)} {num(2)}.{num(2)}.{num(2)}", f"97{num(1)}-{num(1)}-{num(4)}-{num(4)}-{num(1)}"])
         elif kind == "ip":
             h = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
-            body = rng.choice([":".join(h(4) for _ in range(8)), f"2001:{h(3)}::{h(4)}", f"fe80::{h(4)}:{h(4)}:{h(4)}:{h(4)}"]) if label else rng.choice([f"{num(2)}:{num(2)}:{num(2)}", ":".join(h(2) for _ in range(6)), f"{num(1)}:{num(2)}:{num(3)}"])
+            body = rng.choice([":".join(h(4) for _ in range(8)), f"2001:{h(3)}::{h(4)}", f"fe80::{h(4)}:{h(4)}:{h(4)}:{h(4)}", f"fe80::{h(rng.randint(1, 4))}", f"::{h(1)}", f"2001:{h(3)}:{h(4)}::{h(1)}"]) if label else rng.choice([f"{num(2)}:{num(2)}:{num(2)}", ":".join(h(2) for _ in range(6)), f"{num(1)}:{num(2)}:{num(3)}", f"{h(1)}::{h(2)}"])
         else:
             at, dot = rng.choice([("(at)", "."), ("[at]", "."), (" (at) ", " (dot) "), (" at ", " dot "), ("[at]", "[dot]")])
             body = f"{word()}{rng.choice(['.', '', '_'])}{word()}{at}{word()}{dot}{rng.choice(['com', 'org', 'net', 'de'])}" if label else f"{word()}{rng.choice(['@', ' @ ', ' at '])}{word()}{rng.choice(['.', '. '])}{num(1)}"
         before = rng.choice(cue[kind]) if rng.random() < (0.55 if label else 0.12) else rng.choice(against) if rng.random() < (0.04 if label else 0.5) else word()
-        out.append((f"{word()} {word()} {before}{rng.choice([' ', ': ', ' is '])}{body} {word()} {word()}.", KINDS.index(kind), int(label)))
+        start = f"{word()} {word()} {before}{rng.choice([' ', ': ', ' is '])}"
+        tail = rng.choice([f" {rng.randint(1, 12):02}/{num(2)}", f" {rng.randint(1990, 2039)}", f" {rng.randint(1990, 2039)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"]) if kind in DIGITS and rng.random() < 0.35 else ""
+        out.append((f"{start}{body}{tail} {word()} {word()}.", KINDS.index(kind), int(label), len(start), len(start) + len(body)))
     return out
 
 
 def train(spark: SparkSession, n: int = 3000, precision: float = 0.98) -> tuple[gbt.Boosted, list[float], list[float]]:
     """Trees for candidates, the margin for each kind at which held-out examples reach the
     precision, and the recall there. Fitted on the n made examples, half of them held out."""
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(examples(n))], "i int, text string, no int, label int")
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(examples(n))], "i int, text string, no int, label int, from int, to int")
     none = F.array().cast("array<struct<start:bigint,no:int,end:bigint>>")
-    found = rows.select("i", "no", "label", F.explode(candidates(F.col("text"), none)).alias("c")).where("c.no = no")
-    got = found.select("i", "no", "label", *[F.col(f"c.f.{f}").alias(f) for f in FEATURES]).orderBy("i", "c.start").collect()
+    found = rows.select("i", "no", "label", "from", "to", F.explode(candidates(F.col("text"), none)).alias("c")).where("c.no = no")
+    got = found.select("i", "no", F.when((F.col("c.start") == F.col("from")) & (F.col("c.end") == F.col("to")), F.col("label")).otherwise(0).alias("label"), *[F.col(f"c.f.{f}").alias(f) for f in FEATURES]).orderBy("i", "c.start", "c.end").collect()
     x = np.array([[r[f] for f in FEATURES] for r in got], dtype=float)
     y, no, half = (np.array([f(r) for r in got]) for f in (lambda r: r.label, lambda r: r.no, lambda r: r.i // 4 % 2))
     model = gbt.fit(list(FEATURES), x[half == 0], y[half == 0])
@@ -190,8 +233,8 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", trained=None) ->
     """docs with p_base and p_spans: sorted arrays of struct<start, no, end> in code points, end
     exclusive, no the kind's place in KINDS. p_base are the matches of the strict patterns
     that pass their checks; p_spans also holds the candidates that touch no strict span and
-    whose margin reaches the limit of their kind; where such of several kinds touch, the kind
-    first in KINDS stays. Strict spans of different kinds may overlap.
+    whose margin reaches the limit of their kind; of such that overlap, the one of greatest
+    margin stays. Strict spans of different kinds may overlap.
 
     Null text counts as empty and has no spans. Each text is judged whole in its row: no row
     meets another, so ties, repeated rows and hot groups do not matter; the work grows in
@@ -206,11 +249,11 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", trained=None) ->
     scored = F.transform(F.col("p_wide_"), lambda c: F.struct(c["start"], c["no"], c["end"], F.round(model.margin(lambda f: c["f"][f]), 6).alias("margin")))
     accepted = F.filter(scored, lambda c: c["margin"] >= F.get(limit, c["no"]))
 
-    out = out.withColumn("p_wide_", once(F.transform(accepted, lambda c: F.struct(c["start"], c["no"], c["end"]))))
-    of = lambda no: F.filter("p_wide_", lambda s: s["no"] == no)
-    out = out.withColumn("p_more_", of(0))
-    for no in range(1, len(KINDS)):
-        out = out.withColumn("p_more_", once(F.concat("p_more_", apart(of(no), F.col("p_more_")))))
+    best = F.sort_array(F.transform(accepted, lambda c: F.struct((-c["margin"]).alias("less"), c["no"].alias("no"), c["start"].alias("start"), (-c["end"]).alias("far"))))
+    none = F.array().cast("array<struct<start:bigint,no:int,end:bigint>>")
+    meets = lambda took, c: F.exists(took, lambda x: (x["start"] < -c["far"]) & (x["end"] > c["start"]))
+    add = lambda took, c: F.when(meets(took, c), took).otherwise(F.array_append(took, F.struct(c["start"].alias("start"), c["no"].alias("no"), (-c["far"]).alias("end"))))
+    out = out.withColumn("p_wide_", once(best)).withColumn("p_more_", once(F.aggregate("p_wide_", none, add)))
     out = out.withColumn("p_spans", once(F.sort_array(F.concat("p_base", "p_more_")))).withColumn("p_base", F.sort_array("p_base"))
     return out.drop("p_wide_", "p_more_")
 
