@@ -101,3 +101,20 @@ def test_plan_balances_cost():
     mixed = [c for s, c in cost.items() if sum(p[3] == s for p in pieces[:0]) == 0 and load[s] == 2048]
     assert max(mixed) <= 2048 + 4096
     assert packing.plan([], 2048) == [] and packing.plan([0, 0], 4) == []
+
+
+def test_plan_takes_the_cheapest_of_all_with_room_and_cuts_only_without():
+    rng = random.Random(4)
+    for _ in range(3):
+        sizes = [min(2047, int(rng.lognormvariate(6, 0.8)) + 1) for _ in range(800)]
+        bins = -(-sum(sizes) // 2048)
+        room, cost, done = [2048] * bins, [0.0] * bins, [0] * len(sizes)
+        for d, at, take, seq, off in packing.plan(sizes, 2048):
+            left = sizes[d] - at
+            assert at == done[d] and off == 2048 - room[seq]
+            fit = [(cost[i], i) for i in range(bins) if room[i] >= left]
+            assert (take, seq) == ((left, min(fit)[1]) if fit else (max(room), seq)) and room[seq] >= take
+            room[seq] -= take
+            cost[seq] += packing.attention_cost(take, 1.0, 1.0 / 1024)
+            done[d] += take
+        assert done == sizes

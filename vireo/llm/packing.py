@@ -20,14 +20,17 @@ def attention_cost(length: int, linear: float, quadratic: float) -> float:
     return linear * length + quadratic * length * length
 
 
-def plan(sizes: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 1024, tries: int = 8) -> list[tuple[int, int, int, int, int]]:
+def plan(sizes: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 1024) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) that hold each document's tokens
     once, in as few sequences as their sum allows.
 
     Whole sequences are cut off long documents first. What is left is assigned by descending
-    size to the sequence of lowest cost that has room for it, looked for among the `tries`
-    of lowest cost; if none has, it is cut at the room of the roomiest of these and the rest
-    waits for its turn by size. Documents without tokens give no piece.
+    size to the sequence of lowest cost of all that have room for it; if none has, it is cut
+    at the room of the roomiest and the rest waits for its turn by size. Documents without
+    tokens give no piece.
+
+    Sequences with the same room are held in one heap by cost, and the heaps' least costs in
+    a tree over room, so each search takes logarithmic time and no sequence is passed over.
     """
     pieces, rest, n = [], [], 0
     for d, size in enumerate(sizes):
@@ -39,27 +42,46 @@ def plan(sizes: list[int], capacity: int, linear: float = 1.0, quadratic: float
     heapq.heapify(rest)
     bins = -(-sum(-x[0] for x in rest) // capacity)
     room = [capacity] * bins
-    open_ = [(0.0, i) for i in range(bins)]
+    none = (float("inf"), -1)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    heaps[capacity] = [(0.0, i) for i in range(bins)]
+    half = 1 << capacity.bit_length()
+    least = [none] * (2 * half)  # node half + r: least cost of room r; inner nodes: of their two
+
+    def settle(r: int) -> None:
+        at = half + r
+        least[at] = heaps[r][0] if heaps[r] else none
+        while at > 1:
+            at >>= 1
+            x, y = least[2 * at], least[2 * at + 1]
+            least[at] = x if x <= y else y
+
+    def cheapest(r: int) -> tuple[float, int]:
+        lo, hi, best = half + r, 2 * half, none
+        while lo < hi:
+            if lo & 1:
+                best, lo = min(best, least[lo]), lo + 1
+            lo, hi = lo >> 1, hi >> 1
+        return best
+
+    settle(capacity)
     while rest:
         left, d, at = heapq.heappop(rest)
-        left, aside, best = -left, [], None
-        while open_ and len(aside) < tries:
-            cost, i = heapq.heappop(open_)
-            if room[i] >= left:
-                best = (cost, i)
-                break
-            aside.append((cost, i))
-        if best is None:
-            best = max(aside, key=lambda x: (room[x[1]], -x[1]))
-            aside.remove(best)
+        left = -left
+        best = cheapest(left)
+        if best[1] < 0:
+            r = next(r for r in range(left - 1, 0, -1) if heaps[r])
+            best = heaps[r][0]
         cost, i = best
-        take = min(left, room[i])
-        pieces.append((d, at, take, n + i, capacity - room[i]))
+        r = room[i]
+        heapq.heappop(heaps[r])
+        settle(r)
+        take = min(left, r)
+        pieces.append((d, at, take, n + i, capacity - r))
         room[i] -= take
         if room[i]:
-            heapq.heappush(open_, (cost + attention_cost(take, linear, quadratic), i))
-        for x in aside:
-            heapq.heappush(open_, x)
+            heapq.heappush(heaps[room[i]], (cost + attention_cost(take, linear, quadratic), i))
+            settle(room[i])
         if take < left:
             heapq.heappush(rest, (take - left, d, at + take))
     return pieces
