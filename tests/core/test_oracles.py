@@ -38,3 +38,16 @@ def test_same_rows(spark, sf_dir, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows_only(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_probed_clusters_hold_the_exact_neighbours(spark, sf_dir):
+    """Recall at 5 of the registered index settings against the exact search."""
+    from vireo.operators import clusters
+    from vireo.plans import catalog
+
+    points = catalog._points(spark, sf_dir).persist()
+    index, near = catalog._index(points), catalog._exact(points).select("qid", "ref_id")
+    for probes, least in ((2, 0.9), (8, 0.99)):
+        ranked = clusters.rank_probes(catalog._asked(points), index.centroids, probes).select("qid", "cid")
+        found = near.join(index.members.select("ref_id", "cid"), "ref_id").join(ranked, ["qid", "cid"])
+        assert found.count() >= least * near.count()
