@@ -75,3 +75,14 @@ def test_trees_as_columns(spark):
     assert np.allclose(got, model.margins(x[:200]))
     assert gbt.fit(["a"], np.empty((0, 1)), np.empty(0)).trees == [] and gbt.fit(["a"], np.ones((5, 1)), np.ones(5)).trees == []
     assert gbt.threshold(np.array([3.0, 2, 1]), np.array([1, 1, 0]), 1.0) == 2 and gbt.threshold(np.array([1.0]), np.array([0]), 0.5) == float("inf")
+
+
+def test_trees_judge_urls_without_a_rule(spark):
+    """They learn from the rules only: what looks like blocked urls is blocked, without a rule too."""
+    ads = lambda host, i: f"http://t{i}.{host}/ads/click-{i}/9{i}.php?id={i}&ref=x&u={i}"
+    page = lambda host, i: f"http://t{i}.{host}/guide/"
+    rows = [(f("ruled.com", i), None) for f in (ads, page) for i in range(300)]
+    rows += [(ads("other.com", i), "block") for i in range(300)] + [(page("other.com", i), "allow") for i in range(300)]
+    df = spark.createDataFrame(rows, "url string, want string")
+    got = url_filter.judge_urls(df, {"ruled.com/ads/": "block", "ruled.com/guide/": "allow"}).where("rule is null").select("want", "verdict").collect()
+    assert len(got) == 600 and sum(r.want == r.verdict for r in got) >= 540

@@ -114,9 +114,8 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], model: UrlModel | None =
     """pages with host, path, rule, block_margin and verdict (allow or block): the verdict of the
     longest fitting rule, else block where the model's log odds reach `limit`.
 
-    Without a model one is fitted here: urls that a rule blocks are the examples to block,
-    urls that a rule allows, and as background those without a rule, the examples to
-    allow. Each url is judged in its own row, so ties, repeated rows and hot hosts do not
+    Without a model one is fitted here on the urls that a rule blocks or allows; those without
+    a rule are judged only. Each url is judged in its own row, so ties, repeated rows and hot hosts do not
     matter. A null url, or one without ://, has empty host and path, no rule, and the
     model's verdict. An empty table stays empty. Other columns are returned; one that is
     named like a result is replaced.
@@ -129,7 +128,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], model: UrlModel | None =
     for r, verdict in rules.items():
         of_rule = F.when(F.col("rule") == r, F.lit(verdict)).otherwise(of_rule)
     if model is None:
-        model = fit_urls(out.select(F.col(url_col).alias("url"), F.when(of_rule == "block", 1).otherwise(0).alias("label")), **fitting)
+        model = fit_urls(out.select(F.col(url_col).alias("url"), F.when(of_rule == "block", 1).when(of_rule == "allow", 0).alias("label")), **fitting)
     feats = {**lexical(F.col(url_col), F.col("host"), F.col("path")), **_suffixes(F.col("host"))}
     out = out.withColumn("u_", once(F.struct(*[c.alias(k) for k, c in feats.items()])))
     out = out.withColumn("block_margin", once(F.round(model.margin(F.col("u_")), 6)))
