@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vireo.llm import mixing, near, packing, pii, quality
-from vireo.llm.common import cut, scratch, table
+from vireo.llm.common import cut, few, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -35,12 +35,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id_ = F.coalesce("doc_id", F.lit(2**63 - 1))
     rows = docs.withColumn("key", F.struct(id_.alias("id"), F.xxhash64("doc_id", "text", "lang", "source").alias("at")))
     found = near.near_copies(rows.select("key", "text"), id_col="key")
-    first = cut(found.where("key = component_id").groupBy("key").agg(F.count("*").alias("n")))
-    kept = rows.join(first.where("n = 1"), "key", "left_semi").select(*COLUMNS)
-    many = first.where("n > 1")
+    groups = cut(found.groupBy("key").agg(F.min("component_id").alias("first"), F.count("*").alias("n")))
+    gone = groups.where("key <> first").select("key")
+    many = groups.where("key = first and n > 1").select("key")  # rows that are equal in all columns
     if many.isEmpty():
-        return _larger_files(spark, kept)
-    return kept.unionByName(rows.join(many, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS))
+        return rows.join(few(gone), "key", "left_anti").select(*COLUMNS)
+    kept = rows.join(few(gone.unionByName(many)), "key", "left_anti")
+    return kept.unionByName(rows.join(few(many), "key", "left_semi").dropDuplicates(["key"])).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,23 @@ def simhash(text, n=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def shingles(text, k=5):
+    w = words((text or "").lower())
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_groups(texts):
+    """texts by id to the smallest id of each one's group at a similarity of 0.8."""
+    s = {d: shingles(t) for d, t in texts.items()}
+    alike = lambda a, b: 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b])
+    return components(sorted(s), lambda a, b: len(s[a]) * 4 <= len(s[b]) * 5 and len(s[b]) * 4 <= len(s[a]) * 5 and alike(a, b))
+
+
 def components(nodes, linked):
     """smallest member of each node's component; linked(a, b) on pairs."""
     parent = {x: x for x in nodes}

@@ -8,11 +8,6 @@ from vireo.llm.near import near_copies
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def jaccard(a, b, k=5):
-    a, b = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in (brute.words(a.lower()), brute.words(b.lower())))
-    return len(a & b) / len(a | b) if a | b else 1.0
-
-
 def planted():
     """Bases, copies with a few words changed at similarities around 0.8, and short or common texts."""
     rng = random.Random(3)
@@ -36,7 +31,7 @@ def planted():
 
 def test_groups_are_those_of_exact_similarity(spark):
     texts = planted()
-    comp = brute.components(list(range(len(texts))), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    comp = brute.components(list(range(len(texts))), lambda a, b: brute.jaccard(texts[a], texts[b]) >= 0.8)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     assert {r.doc_id: r.component_id for r in near_copies(docs).collect()} == comp
 
@@ -45,5 +40,5 @@ def test_stage_drops_near_copies_at_0_8(spark, sf_dir):
     texts = planted()
     rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()}
-    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= 0.8]
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if brute.jaccard(texts[a], texts[b]) >= 0.8]
     assert len(near) > 100 and not [p for p in near if got >= set(p)]

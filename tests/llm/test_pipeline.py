@@ -24,8 +24,7 @@ def docs(spark, sf_dir):
 def test_dedup_keeps_the_smallest_of_each_group(spark, sf_dir, docs):
     got = rows_of(corpus_pipeline.near_dedup(spark, docs, sf_dir))
     rows = rows_of(docs)
-    fp = {r[0]: brute.simhash(r[1]) for r in rows}
-    comp = brute.components(sorted(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 4)
+    comp = brute.near_groups({r[0]: r[1] for r in rows})
     assert got == [r for r in rows if comp[r[0]] == r[0]]
 
 
@@ -39,8 +38,7 @@ def test_run_is_the_stages_in_turn(spark, sf_dir, docs):
     """Brute force from the filtered and redacted texts on: groups, copies and pieces."""
     judged = quality.line_first(docs).collect()
     rows = [(r.doc_id, r.q_clean_text, r.lang, r.source, len(r.q_clean_text)) for r in judged if r.q_kept]
-    fp = {r[0]: brute.simhash(r[1]) for r in rows}
-    comp = brute.components(sorted(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 4)
+    comp = brute.near_groups({r[0]: r[1] for r in rows})
     rows = [r for r in rows if comp[r[0]] == r[0]]
     red = {}
     for r in pii.find_personal_data(spark.createDataFrame(rows, SCHEMA)).collect():

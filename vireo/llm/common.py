@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
 
-    Only where none is set (tests, a laptop) a temporary folder of this machine is taken.
+    Where none is set, a local master (tests, a laptop) takes a temporary folder of this
+    machine; on a cluster that is an error.
     """
     sc = spark.sparkContext
     where = sc.getCheckpointDir()
     if where is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vireo-"))
         where = sc.getCheckpointDir()
     return where
@@ -47,6 +52,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def rounds(spark: SparkSession, name: str):
+    """For loops: a function that writes rows to the shared folder and gives the table to read.
+    All tables go when the loop is over, so what it returns must be cut before.
+
+    Unlike a checkpoint, which hands the planner's estimate of its rows on, a table has its
+    true size: the estimate of a join is a product, whose digits would double each round."""
+    top, n = scratch(spark, name), count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{top}/{next(n)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def few(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df, to be broadcast if it has `most` short rows or fewer; else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def words_array(text: Column) -> Column:
     """array<string>: the words [^\\x20\\x09-\\x0D]+ of a text; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
@@ -100,9 +131,6 @@ def raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
-_MASK = (1 << 64) - 1
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -1,4 +1,5 @@
-"""Near copies by exact Jaccard similarity of word shingles."""
+"""Near copies at a Jaccard similarity of word shingles: SimHash links by Golay keys first, then
+an exact pass over what they cannot reach."""
 
 from __future__ import annotations
 
@@ -7,13 +8,18 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vireo.llm.common import LOWER, cut, raw, slices, small_batches
+from vireo.llm.common import LOWER, cut, few, raw, slices, small_batches
 from vireo.llm.components import connected_components
+from vireo.llm.simhash import near_links, simhash
 
 _ROW = "h long, fp long, n int, i int"
+#: 64-bit words of a set's parities: bit j tells whether an odd number of its shingles have j as
+#: their hash's last nine bits.
+PARITIES = 8
 
 
 def shingles(text: bytes, k: int = 5) -> np.ndarray:
@@ -29,12 +35,17 @@ def shingles(text: bytes, k: int = 5) -> np.ndarray:
     return np.unique(np.array([h(joined[s:e]) for s, e in zip(starts, (ends[k - 1 :] - 1).tolist())], dtype=np.uint64))
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    odd = np.bincount((h % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     at = np.cumsum([0, *map(len, values)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.uint64), *values]).view(np.int64)))
 
 
-def _common(docs: DataFrame, k: int, rows: int = 4000, least: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def _common(docs: DataFrame, k: int, rows: int = 2000, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that `least` documents of a sample share, ascending, and their ranks by how
     many do. They only set the order in which shingles are looked at, not the result."""
     some = docs.where(F.xxhash64("key").cast("double") / 2.0**64 + 0.5 <= rows / max(docs.count(), 1))
@@ -45,9 +56,10 @@ def _common(docs: DataFrame, k: int, rows: int = 4000, least: int = 5) -> tuple[
                 for t in raw(part, "text"):
                     yield pa.RecordBatch.from_arrays([pa.array(shingles(t, k).view(np.int64))], names=["h"])
 
-    found = some.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= least).collect()
-    found.sort(key=lambda r: (r.c, r.h))
-    h, rank = np.array([r.h for r in found], dtype=np.int64).view(np.uint64), np.arange(1, len(found) + 1)
+    found = some.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= least).toArrow()
+    h, c = found.column("h").to_numpy().view(np.uint64), found.column("c").to_numpy()
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, c))] = np.arange(1, len(h) + 1)
     order = np.argsort(h)
     return h[order], rank[order]
 
@@ -128,21 +140,24 @@ def _stars(num: int, den: int):
 
 
 def _others(num: int, den: int):
-    """All candidates of each key that are not joined yet."""
+    """All candidates of each key that are not joined yet. Every parity in which two sets differ
+    needs a shingle that one of them has alone, so pairs that differ in more parities than
+    similar sets may have such shingles are left out: none of them is similar enough."""
 
     def run(cols):
         start, size = _sizes(cols[0])
-        label = cols[4]
+        label, n = cols[4], cols[2].astype(np.int64)
+        odd = np.stack(cols[5:], axis=1).astype(np.int64).view(np.uint64)
         for s, m in zip(start.tolist(), size.tolist()):
             if (label[s : s + m] == label[s]).all():
                 continue
             for x in range(s, s + m - 1):
                 b = np.arange(x + 1, s + m)
                 b = b[label[b] != label[x]]
-                a = np.full(len(b), x)
-                ok = _possible(cols, a, b, num, den)
-                if ok.any():
-                    yield _pairs(cols[1], a[ok], b[ok])
+                b = b[_possible(cols, np.full(len(b), x), b, num, den)]
+                b = b[(num + den) * np.bitwise_count(odd[b] ^ odd[x]).sum(axis=1, dtype=np.int64) <= (den - num) * (n[x] + n[b])]
+                if len(b):
+                    yield _pairs(cols[1], np.full(len(b), x), b)
 
     return run
 
@@ -151,16 +166,28 @@ def _ab(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
+def _first_links(reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose SimHash is equal or, by Golay keys, at most four bits away:
+    for every SimHash its first set stands, and the others are paired with it."""
+    firsts = cut(reps.groupBy("sim").agg(F.min("fp").alias("fp")))
+    equal = reps.select("sim", F.col("fp").alias("b")).join(firsts.withColumnRenamed("fp", "a"), "sim").where("a <> b").select("a", "b")
+    near = near_links(firsts.select(F.col("sim").alias("fp")))
+    near = near.join(firsts.select(F.col("sim").alias("a"), F.col("fp").alias("x")), "a").join(firsts.select(F.col("sim").alias("b"), F.col("fp").alias("y")), "b")
+    return equal.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Fraction = Fraction(4, 5), shingle: int = 5) -> DataFrame:
     """(id_col, component_id): the smallest id that links reach, where two texts are linked if
     the Jaccard similarity of their sets of `shingle`-word runs is `similarity` or more.
 
-    Exact: in any one order of all shingles, two sets that are similar enough share one of
-    the first n - ceil(similarity n) + 1 of each, so documents meet at these only, and every
-    candidate is verified by its whole sets. Shingles that many documents of a sample share
-    come last in the order. Equal sets count as one. Of a shingle's documents, first a few
-    pairs are verified that join most of a group of near copies, then all pairs that are
-    not joined yet; none is dropped.
+    SimHash fingerprints of the sets meet by Golay keys first, and what is at most four bits
+    apart is verified by whole sets. That joins copies and close copies, but four bits miss
+    most pairs near a similarity of 0.8 (they differ in about ten), so an exact pass follows:
+    in any one order of all shingles, two sets that are similar enough share one of the first
+    n - ceil(similarity n) + 1 of each, so documents meet at these, and every candidate not
+    joined yet is verified. Shingles that many documents of a sample share come last in the
+    order. Equal sets count as one. Of a shingle's documents, first a few pairs are verified
+    that join most of a group of near copies, then all pairs not joined; none is dropped.
 
     Null text counts as empty; texts without words are equal. Ids must not be null; rows with
     equal ids must have equal texts, as they do by the key of the pipeline's stage.
@@ -174,51 +201,68 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def begin(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                fp, n, prefix = [], [], []
+                fp, sim, n, odd, prefix = [], [], [], [], []
                 for t in raw(part, "text"):
                     h = shingles(t, shingle)
                     fp.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
+                    sim.append(simhash(h))
                     n.append(len(h))
+                    odd.append(parities(h))
                     if len(common) and len(h):
                         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                         h = h[np.argsort(np.where(common[at] == h, rank[at], 0), kind="stable")]
                     prefix.append(h[: len(h) - -(-num * len(h) // den) + 1])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), _lists(prefix)], names=["key", "fp", "n", "prefix"])
+                long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), long(fp), long(sim), pa.array(n, pa.int32()), _lists(odd), _lists(prefix)], names=["key", "fp", "sim", "n", "odd", "prefix"])
 
-    sets = cut(docs.mapInArrow(begin, f"key {kind}, fp long, n int, prefix array<long>"))
-    reps = cut(sets.groupBy("fp").agg(F.min("key").alias("least")))
+    sets = cut(docs.mapInArrow(begin, f"key {kind}, fp long, sim long, n int, odd array<long>, prefix array<long>"))
+    reps = cut(sets.groupBy("fp").agg(F.min("key").alias("least"), F.min("sim").alias("sim"), F.min("odd").alias("odd")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_key = lambda df: df.repartition(parts, "h").sortWithinPartitions("h", "fp")
     met = sets.select("fp", "n", "prefix").dropDuplicates(["fp"]).select("fp", "n", F.posexplode("prefix").alias("i", "h")).select("h", "fp", "n", "i")
     as_row = lambda c: pa.RecordBatch.from_arrays([pa.array(x) for x in c], names=["h", "fp", "n", "i"])
     met = cut(by_key(met).mapInArrow(_keys(as_row, _shared(num, den)), _ROW))
+    links = cut(_first_links(reps))
 
     def whole(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(t, shingle) for t in raw(part, "text")])], names=["fp", "s"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(squeeze, raw(part, "text"))), pa.binary())], names=["fp", "packed"])
 
-    needed = met.select("fp").distinct().join(reps, "fp").select("fp", F.col("least").alias("key"))
-    texts = docs.join(needed, "key").select("fp", "text")
-    full = cut(texts.mapInArrow(whole, "fp long, s array<long>"))  # a repeated id gives equal rows, which do no harm
+    needed = met.select("fp").union(links.select("a")).union(links.select("b")).distinct()
+    needed = cut(needed.join(reps.select("fp", "least"), "fp").select("fp", F.col("least").alias("key")))
+    texts = docs.join(few(needed), "key").select("fp", "text")
+    full = cut(texts.mapInArrow(whole, "fp long, packed binary"))  # a repeated id gives equal rows, which do no harm
 
     def check(batches):
+        unpack, last = zstandard.ZstdDecompressor().decompress, {}
+
+        def own(x: int, packed) -> np.ndarray:
+            if x not in last:
+                if len(last) >= 64:
+                    last.clear()
+                last[x] = shingles(unpack(packed), shingle)
+            return last[x]
+
         for batch in batches:
             a, b, x, y = batch.columns
             ok = []
-            for p, q in zip(x, y):
-                p, q = p.values.to_numpy(), q.values.to_numpy()
+            for c, d, p, q in zip(a.to_pylist(), b.to_pylist(), raw(batch, "x"), raw(batch, "y")):
+                p, q = own(c, p), own(d, q)
                 o = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append((num + den) * o >= num * (len(p) + len(q)))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(full.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b").join(full.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a")
+        rows = pairs.join(full.select(F.col("fp").alias("b"), F.col("packed").alias("y")), "b").join(full.select(F.col("fp").alias("a"), F.col("packed").alias("x")), "a")
         return rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
-    stars = cut(verified(met.sortWithinPartitions("h", "fp").mapInArrow(_keys(_ab, _stars(num, den)), "a long, b long").distinct()))
+    stars = met.sortWithinPartitions("h", "fp").mapInArrow(_keys(_ab, _stars(num, den)), "a long, b long")
+    stars = cut(verified(stars.union(links).distinct()))
     joined = connected_components(stars).withColumnRenamed("node", "fp")
-    left = by_key(met.join(joined, "fp", "left").select("h", "fp", "n", "i", F.coalesce("label", "fp").alias("label")))
+    known = reps.join(joined, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), *[F.get("odd", i).alias(f"o{i}") for i in range(PARITIES)])
+    left = by_key(met.join(known, "fp").select("h", "fp", "n", "i", *known.columns[1:]))
     edges = stars.unionByName(verified(left.mapInArrow(_keys(_ab, _others(num, den)), "a long, b long").distinct()))
     labels = connected_components(edges).withColumnRenamed("node", "fp")
     labelled = cut(reps.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vireo.llm.common import LOWER, cut, small_batches
+from vireo.llm.common import LOWER, cut, rounds, small_batches
 
 _MARKS = re.compile(r"(?:[ \t]{0,3}>)*")
 _INTRODUCES = re.compile(r"(?:wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t\r]*\Z")
@@ -83,13 +83,14 @@ def _at(conv, turn) -> Column:
 def roots(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, root, depth) for links(node, parent) without cycles, by doubling: each round
     every node looks twice as far, so rounds are logarithmic in the longest chain."""
-    state = cut(links.select("node", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")))
-    for _ in range(max_rounds):
-        step = state.select(F.col("node").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"))
-        joined = state.join(step, "root", "left")
-        if joined.where("further is not null").isEmpty():
-            return state
-        state = cut(joined.select("node", F.coalesce("further", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+    with rounds(links.sparkSession, "roots") as keep:
+        state = keep(links.select("node", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")))
+        for _ in range(max_rounds):
+            step = state.select(F.col("node").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"))
+            joined = state.join(step, "root", "left")
+            if joined.where("further is not null").isEmpty():
+                return cut(state)
+            state = keep(joined.select("node", F.coalesce("further", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
     raise RuntimeError("the links have a cycle")
 
 

@@ -87,6 +87,15 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if it is set in over half the 64-bit hashes; without hashes zero."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(bits), 255):  # sums of 255 bits fit a byte, which numpy adds fastest
+        total += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     words = text.translate(LOWER).split()
     if not words:
@@ -99,11 +108,7 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
         starts = [0, *ends[:-shingle].tolist()]
         h = xxhash.xxh64_intdigest
         hashes = [h(joined[s:e], seed) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    total = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(bits), 255):  # sums of 255 bits fit a byte, which numpy adds fastest
-        total += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+    return simhash(np.array(hashes, dtype="<u8"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
