@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from vireo.llm import quality
@@ -20,7 +21,17 @@ def expected(text):
 
 def rows_of(spark, texts):
     df = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate(texts)], "doc_id long, text string, q_kept string, q_words_ int")
-    return {r.doc_id: r for r in quality.line_first(df).collect()}
+    got = quality.line_first(df)
+    assert got.columns[:2] == ["doc_id", "text"] and "q_words_" in got.columns
+    return {r.doc_id: r for r in got.collect()}
+
+
+def test_phrases_are_whole_words_of_four_languages(spark):
+    plain = ["The catalog in print is old and long", "A design in blue, a dialog in the hall", "We design up to ten and redesign in time", "unimpressum heißt nichts weiter hier so"]
+    bad = ["Please log in to read all of this", "SIGN UP now for the whole of the news", "Impressum und Kontakt finden Sie unten links", "Lisez nos mentions légales avant de continuer", "Lea el aviso legal y las condiciones antes"]
+    rows = spark.createDataFrame([(x,) for x in plain + bad], "line string")
+    got = rows.select("line", quality.line_fails(F.col("line")).alias("bad")).collect()
+    assert {r.line for r in got if r.bad} == set(bad)
 
 
 CLEAN = "".join("The " + " ".join(f"{w}{i}" for w in "quick brown fox jumps over lazy dogs while others sleep".split()) + ".\n" for i in range(8))

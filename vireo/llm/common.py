@@ -83,6 +83,14 @@ def words_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def once(value: Column) -> Column:
     """A value that the optimizer neither copies nor moves: a filter on what is derived from it
     stays above it, instead of having the whole derivation repeated below."""

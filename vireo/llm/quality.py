@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vireo.llm.common import SPACE, once, words_array
+from vireo.llm.common import SPACE, once, spare, words_array
 
-#: Fixed value: phrases that mark a short line as boilerplate (lower case).
+#: Fixed value: phrases that mark a short line as boilerplate (lower case), in the languages of
+#: the corpus: English, German, French, Spanish.
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "log in", "lorem ipsum",
     "privacy policy", "share this", "sign in", "sign up", "subscribe", "terms of use",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "hier klicken", "impressum", "jetzt anmelden", "nutzungsbedingungen",
+    "accepter les cookies", "cliquez ici", "conditions d'utilisation", "mentions légales", "politique de confidentialité", "se connecter", "tous droits réservés",
+    "aceptar cookies", "aviso legal", "haga clic aquí", "iniciar sesión", "política de privacidad", "términos de uso", "todos los derechos reservados",
 )
+#: They count as whole words only.
+_KNOWN = r"(?:\A|[^\p{L}])(?:" + "|".join(BOILERPLATE) + r")(?:[^\p{L}]|\z)"
 #: Fixed value: characters that sentences rarely hold.
 SYMBOLS = "[#*$%&|<>]"
 #: Fixed value: how a sentence may end, closing quotes and brackets included.
@@ -27,7 +33,7 @@ def line_fails(line: Column, symbol_share: float = 0.1, boilerplate_words: int =
     symbols = F.regexp_count(line, F.lit(SYMBOLS)) > F.length(line) * F.lit(symbol_share)
     capitals = ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}\p{Lu}")
     menu = line.rlike(r"[|»›•→·][^\n]*[|»›•→·]") | (few(2) & ~line.rlike(TERMINAL))
-    known = F.lower(line).rlike("|".join(BOILERPLATE)) & few(boilerplate_words)
+    known = F.lower(line).rlike(_KNOWN) & few(boilerplate_words)
     return symbols | capitals | menu | known
 
 
@@ -63,13 +69,14 @@ def line_first(docs: DataFrame, text_col: str = "text", min_words: int = 50, mos
     one that is named like a result is replaced.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumn("q_words_", once(words_array(text)))
-    words = F.col("q_words_")
+    names = [spare(docs, f"q_{x}_") for x in ("words", "hashes", "lines")]
+    out = docs.withColumn(names[0], once(words_array(text)))
+    words = F.col(names[0])
     hashes = F.when(F.size(words) >= 3, F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    out = out.withColumn("q_hashes_", once(hashes))
+    out = out.withColumn(names[1], once(hashes))
     line = lambda x: F.struct(x.alias("line"), x.rlike(r"[^\x20\x09-\x0D]").alias("full"), (x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x)).alias("bad"))
-    out = out.withColumn("q_lines_", once(F.transform(F.split(text, "\n", -1), line)))
-    lines = F.col("q_lines_")
+    out = out.withColumn(names[2], once(F.transform(F.split(text, "\n", -1), line)))
+    lines = F.col(names[2])
     full = F.transform(F.filter(lines, lambda x: x["full"]), lambda x: x["line"])
     chars = lambda keep: F.aggregate(F.filter(lines, keep), F.lit(0).cast("long"), lambda a, x: a + F.length(x["line"]))
     out = (
@@ -77,7 +84,7 @@ def line_first(docs: DataFrame, text_col: str = "text", min_words: int = 50, mos
         .withColumn("q_word_chars", F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)))
         .withColumn("q_n_symbols", F.regexp_count(text, F.lit(SYMBOLS)).cast("long"))
         .withColumn("q_n_dup_lines", (F.size(full) - F.size(F.array_distinct(full))).cast("long"))
-        .withColumn("q_n_repeat_words", once(_repeat_words(F.col("q_hashes_"))))
+        .withColumn("q_n_repeat_words", once(_repeat_words(F.col(names[1]))))
         .withColumn("q_line_chars", chars(lambda x: x["full"]))
         .withColumn("q_lost_chars", chars(lambda x: x["bad"]))
         .withColumn("q_clean_text", F.when(F.exists(lines, lambda x: x["bad"]), F.array_join(F.transform(F.filter(lines, lambda x: ~x["bad"]), lambda x: x["line"]), "\n")).otherwise(text))
@@ -85,7 +92,7 @@ def line_first(docs: DataFrame, text_col: str = "text", min_words: int = 50, mos
     failed = (F.col("q_n_words") < min_words) | (F.col("q_n_repeat_words") > F.lit(most_repeated) * F.col("q_n_words"))
     out = out.withColumn("q_base_failed", failed)
     out = out.withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_lost_chars") <= F.lit(most_lost) * F.col("q_line_chars")))
-    return out.drop("q_words_", "q_hashes_", "q_lines_")
+    return out.drop(*names)
 
 
 ORACLE_SQL = r"""
@@ -105,7 +112,7 @@ l2 AS (
     OR (NOT regexp_matches(line, '\p{Ll}') AND regexp_matches(line, '\p{Lu}\p{Lu}'))
     OR regexp_matches(line, '[|»›•→·][^\n]*[|»›•→·]')
     OR (NOT regexp_matches(line, '\A[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){2}[^\x20\x09-\x0D]') AND NOT regexp_matches(line, '[.!?:;…。！？।؟][''")\]”’»]*[\x20\x09-\x0D]*\z'))
-    OR (regexp_matches(lower(line), 'accept cookies|all rights reserved|click here|cookie policy|enable javascript|log in|lorem ipsum|privacy policy|share this|sign in|sign up|subscribe|terms of use')
+    OR (regexp_matches(lower(line), '@KNOWN@')
         AND NOT regexp_matches(line, '\A[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){20}[^\x20\x09-\x0D]')) AS bad
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ),
@@ -118,4 +125,4 @@ c AS (
 ),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost_chars <= 0.5 * line_chars AS kept FROM v
-"""
+""".replace("@KNOWN@", _KNOWN.replace("'", "''"))
