@@ -83,7 +83,6 @@ def encoded(text, path, end):
     if path not in encoded.__dict__:
         encoded.__dict__[path] = Tokenizer.from_file(path)
     t = encoded.__dict__[path]
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 

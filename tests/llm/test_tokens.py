@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from vireo.llm import orc_tokens, packing
@@ -87,6 +88,19 @@ def test_pack(spark, sf_dir):
     assert packing.pack(df.limit(0)).collect() == []
 
 
+def test_sequences_keep_their_ids_when_partitions_are_joined(spark):
+    df = spark.createDataFrame([(i, f"some words {i} " * (1 + i % 60)) for i in range(900)], "doc_id long, text string")
+    got = packing.pack(df, group_bytes=40_000).coalesce(1).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    assert len({r.sequence_id >> 32 for r in got}) > 5
+
+
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    df = spark.range(20_000).selectExpr("cast(null as long) doc_id", "'the same words in every row' text")
+    sizes = [r["sum(length)"] for r in packing.pack(df, group_bytes=50_000).groupBy((F.col("sequence_id") / 2**32).cast("int").alias("g")).sum("length").collect()]
+    assert len(sizes) > 5 and max(sizes) < 2 * min(sizes)
+
+
 def test_plan_balances_cost():
     rng = random.Random(2)
     sizes = [rng.choice([1, 5, 60, 300, 900, 2047, 2048, 2049, 5000]) for _ in range(3000)]

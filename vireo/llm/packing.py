@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vireo.llm.common import blocks, raw, small_batches
+from vireo.llm.common import blocks, mix64, raw, small_batches
 from vireo.llm.tokens import default_vocabulary, encoder
 
 
@@ -92,12 +92,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     documents. ids are the piece's token ids as little-endian unsigned 32-bit integers; start
     counts its document's ids before it; in each sequence the offsets run without gaps from 0.
 
-    Documents are dealt by hash into groups of about group_bytes of text, each packed by one
+    Documents are dealt, by a hash of their text and place, into groups of about group_bytes of text, each packed by one
     task that holds one group's tokens (compressed) and no more; the number of groups follows
     from the bytes of all texts. Each group leaves less than one sequence of padding.
 
     Null text counts as empty: every row has at least its end id. Repeated rows and ids are
-    packed each for itself. Ties in size go by the hash of id and text. A text longer
+    packed each for itself, and equal rows are dealt to all groups alike. A sequence's id has
+    its group's number in the upper half, whatever task packs it. Ties in size go by the hash of id and text. A text longer
     than a group is one row of its group. An empty table gives no rows. Other columns are
     ignored.
     """
@@ -110,21 +111,36 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     def encode(batches):
         run, squeeze = encoder(path), zstandard.ZstdCompressor(level=1).compress
+        place = np.uint64(TaskContext.get().partitionId() << 40)  # of the task's next row among all
         for block in blocks(batches, "text", 16 << 20):
             row = 0
             for group in run.groups(raw(block, "text")):
                 ids = [np.r_[x, end] for x in group]
                 packed = [squeeze(x.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes()) for x in ids]  # bytes of one weight together
-                yield pa.RecordBatch.from_arrays([block.column(0).slice(row, len(ids)), block.column(1).slice(row, len(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["id", "rid", "n", "packed"])
+                rid = block.column(1).slice(row, len(ids))
+                at = mix64(rid.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ mix64(np.arange(len(ids), dtype=np.uint64) + place))
+                group = pa.array((at % np.uint64(groups)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([group, block.column(0).slice(row, len(ids)), rid, pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["group", "id", "rid", "n", "packed"])
                 row += len(ids)
+                place += np.uint64(len(ids))
 
     def fill(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # of one group after the other, should partitions be joined
+            group = batch.column(0).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[len(group) > 0, group[1:] != group[:-1]])
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(group)]):
+                if held and held[-1].column(0)[0].as_py() != group[a]:
+                    yield from fill_group(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from fill_group(held)
+
+    def fill_group(batches):
         t = pa.Table.from_batches(batches).sort_by("rid").combine_chunks().to_batches()[0]
-        ids, n, packed = t.column(0), t.column(2).to_pylist(), raw(t, "packed")
-        base = TaskContext.get().partitionId() << 32
+        ids, n, packed = t.column(1), t.column(3).to_pylist(), raw(t, "packed")
+        base = t.column(0)[0].as_py() << 32
         pieces = sorted(plan(n, capacity, linear, quadratic))
         unpack = zstandard.ZstdDecompressor().decompress
         have, tokens = -1, None
@@ -139,5 +155,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array(at), pa.array(length), pa.array(blobs, pa.binary()), pa.array(np.array(n, dtype=np.int64)[d]), pa.array(seq + base), pa.array(off)], names=[id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
-    coded = rows.mapInArrow(encode, f"id {kind}, rid long, n long, packed binary")
-    return coded.repartition(groups, "rid").mapInArrow(fill, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    coded = rows.mapInArrow(encode, f"group int, id {kind}, rid long, n long, packed binary")
+    return coded.repartitionById(groups, "group").mapInArrow(fill, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

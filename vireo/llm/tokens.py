@@ -28,13 +28,13 @@ class Encoder:
     pre-tokenisation always starts a token there, so a text's ids are those of its parts in
     turn. The library encodes the distinct parts of a block of texts; their ids are then
     laid out for all. From one block to the next are kept, `remember` at most, the parts
-    that the last block had twice or that were kept before and came again.
+    that the last block had twice or that were kept before and came again. A special token
+    that a text spells out is one id, as the library's plain call gives it.
     """
 
     def __init__(self, path: str, remember: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors have one task a core already
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.remember, self.known = remember, None
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)])  # how the vocabulary writes a space
