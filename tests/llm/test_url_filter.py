@@ -86,3 +86,14 @@ def test_trees_judge_urls_without_a_rule(spark):
     df = spark.createDataFrame(rows, "url string, want string")
     got = url_filter.judge_urls(df, {"ruled.com/ads/": "block", "ruled.com/guide/": "allow"}).where("rule is null").select("want", "verdict").collect()
     assert len(got) == 600 and sum(r.want == r.verdict for r in got) >= 540
+
+
+def test_hot_urls_and_clashing_names(spark):
+    """What the trees learn does not hang on how often one url comes; all columns come back."""
+    rows = [(f"http://h{i % 40}.com/{'x' if i % 9 else 'ads/1?id=1'}/{i}", i % 9 == 0) for i in range(900)]
+    hot = lambda url: spark.createDataFrame([(u, int(b), i) for i, (u, b) in enumerate(rows + [(url, True)] * 2000)], "url string, label int, u_row_ int")
+    a, b = (url_filter.fit_urls(hot(u)) for u in ("http://hot.com/a", "http://hot.com/b"))
+    assert abs(a.prior - 101 / 901) < 1e-9 and abs(b.prior - a.prior) < 1e-9
+    got = url_filter.judge_urls(hot("http://hot.com/a").withColumnRenamed("url", "host"), {"com/x/": "allow"}, a, url_col="host")
+    assert got.columns == ["host", "label", "u_row_", "path", "rule", "block_margin", "verdict"]
+    assert got.where("path like '/x/%' and rule = 'com/x/'").count() == 800

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vireo.llm import gbt
-from vireo.llm.common import once
+from vireo.llm.common import once, spare
 from vireo.llm.spans import let
 
 FEATURES = ("url_length", "host_length", "path_length", "depth", "host_labels", "digit_share", "entropy", "parameters", "hyphens", "top_rate", "site_rate")
@@ -67,45 +67,55 @@ class UrlModel:
     def __init__(self, model: gbt.Boosted, rates: dict[str, dict[str, float]], prior: float):
         self.model, self.rates, self.prior = model, rates, prior
 
-    def margin(self, row: Column) -> Column:
-        """row: a struct with the lexical features and the suffixes top and site."""
-
-        def rate(name):
-            known = self.rates[name]
-            if not known:
-                return F.lit(self.prior)
-            return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in known.items() for v in kv]), row[name]), F.lit(self.prior))
-
-        return self.model.margin(lambda f: rate(f.removesuffix("_rate")) if f.endswith("_rate") else row[f])
-
-
-def fit_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "label", sample: int = 20_000, suffixes: int = 500, smoothing: float = 20.0) -> UrlModel:
-    """Trees for labelled urls (label 1: block), from `sample` of them at most: those of the
-    least hash, so that the choice does not depend on the order of rows. `suffixes` bounds
-    the host suffixes whose rates are kept, the most frequent ones. Null labels are left
-    out; null urls count as empty."""
-    url = F.col(url_col)
-    host, path = host_and_path(url)
-    rows = labelled.where(F.col(label_col).isNotNull()).select(url.alias("url_"), F.col(label_col).cast("int").alias("label_"))
+    def with_rates(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows with the rates of the suffixes in the struct column `name`, as a struct `name`_rates.
+        The tables that are broadcast have a row a suffix of the fitted sample, no more."""
+        known = {}
+        for kind, of in self.rates.items():
+            key, rate = f"{name}_{kind}", f"{name}_{kind}_rate"
+            table = rows.sparkSession.createDataFrame(sorted(of.items()), f"`{key}` string, `{rate}` double")
+            rows = rows.join(F.broadcast(table), F.col(f"{name}.{kind}") == F.col(key), "left").drop(key)
+            known[f"{kind}_rate"] = rate
+        out = rows.withColumn(f"{name}_rates", F.struct(*[F.coalesce(F.col(c), F.lit(self.prior)).alias(k) for k, c in known.items()]))
+        return out.drop(*known.values())
+
+    def margin(self, row: Column, rates: Column) -> Column:
+        """row: a struct with the lexical features; rates: one with those of the suffixes."""
+        return self.model.margin(lambda f: rates[f] if f.endswith("_rate") else row[f])
+
+
+def _rates(suffixes: list[str], y: np.ndarray, prior: float, smoothing: float) -> dict[str, float]:
+    total: dict[str, list[float]] = {}
+    for suffix, label in zip(suffixes, y.tolist()):
+        t = total.setdefault(suffix, [0.0, 0.0])
+        t[0] += label
+        t[1] += 1
+    return {k: round((a + smoothing * prior) / (n + smoothing), 6) for k, (a, n) in total.items()}
+
+
+def fit_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "label", sample: int = 20_000, smoothing: float = 20.0, folds: int = 5) -> UrlModel:
+    """Trees for labelled urls (label 1: block), from `sample` distinct ones at most: those of
+    the least hash, so that the choice depends neither on the order of rows nor on how often a
+    url comes. The trees see each url with the suffix rates of the other folds, so that a
+    suffix does not carry its own label; the model keeps the rates of all. Null labels are
+    left out; null urls count as empty."""
+    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(url_col).alias("url_"), F.col(label_col).cast("int").alias("label_"))
     rows = rows.withColumn("place_", (F.xxhash64(F.coalesce("url_", F.lit("")), "label_") / F.lit(float(2**64))) + 0.5)
-    n = rows.count()
+    n = rows.agg(F.approx_count_distinct("place_")).first()[0]
     # of n even places, about twice the sample lies below this: tasks need not send more
-    rows = rows.where(F.col("place_") <= F.lit(2.0 * sample / max(n, 1))).orderBy("place_", "url_", "label_").limit(sample)
+    rows = rows.where(F.col("place_") <= F.lit(2.0 * sample / max(n, 1))).distinct().orderBy("place_", "url_", "label_").limit(sample)
     host, path = host_and_path(F.col("url_"))
     feats = {**lexical(F.col("url_"), host, path), **_suffixes(host)}
     got = rows.select(*[c.alias(k) for k, c in feats.items()], "label_").collect()  # sample rows at most
     y = np.array([r.label_ for r in got], dtype=float)
     prior = float(y.mean()) if len(y) else 0.0
+    fold = np.arange(len(y)) % folds  # the order is that of hashes
     rates, columns = {}, {}
-    for name in ("top", "site"):
-        total: dict[str, list[float]] = {}
-        for r, label in zip(got, y):
-            t = total.setdefault(r[name], [0.0, 0.0])
-            t[0] += label
-            t[1] += 1
-        common = sorted(total, key=lambda k: (-total[k][1], k))[:suffixes]
-        rates[name] = {k: round((total[k][0] + smoothing * prior) / (total[k][1] + smoothing), 6) for k in common}
-        columns[f"{name}_rate"] = [rates[name].get(r[name], prior) for r in got]
+    for kind in ("top", "site"):
+        own = [r[kind] for r in got]
+        rates[kind] = _rates(own, y, prior, smoothing)
+        apart = [_rates([x for x, f in zip(own, fold) if f != k], y[fold != k], prior, smoothing) for k in range(folds)]
+        columns[f"{kind}_rate"] = [apart[f].get(x, prior) for x, f in zip(own, fold)]
     x = np.array([[r[f] if f in feats else columns[f][i] for f in FEATURES] for i, r in enumerate(got)], dtype=float).reshape(len(got), len(FEATURES))
     return UrlModel(gbt.fit(list(FEATURES), x, y), rates, prior)
 
@@ -120,7 +130,9 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], model: UrlModel | None =
     model's verdict. An empty table stays empty. Other columns are returned; one that is
     named like a result is replaced.
     """
-    host, path = host_and_path(F.col(url_col))
+    url, row = spare(pages, "u_url_"), spare(pages, "u_row_")
+    pages = pages.withColumn(url, F.col(url_col))
+    host, path = host_and_path(F.col(url))
     out = pages.withColumn("host", once(host)).withColumn("path", once(path))
     rule = rule_of(F.col("host"), F.col("path"), rules)
     out = out.withColumn("rule", rule)
@@ -128,9 +140,9 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], model: UrlModel | None =
     for r, verdict in rules.items():
         of_rule = F.when(F.col("rule") == r, F.lit(verdict)).otherwise(of_rule)
     if model is None:
-        model = fit_urls(out.select(F.col(url_col).alias("url"), F.when(of_rule == "block", 1).when(of_rule == "allow", 0).alias("label")), **fitting)
-    feats = {**lexical(F.col(url_col), F.col("host"), F.col("path")), **_suffixes(F.col("host"))}
-    out = out.withColumn("u_", once(F.struct(*[c.alias(k) for k, c in feats.items()])))
-    out = out.withColumn("block_margin", once(F.round(model.margin(F.col("u_")), 6)))
+        model = fit_urls(out.select(F.col(url).alias("url"), F.when(of_rule == "block", 1).when(of_rule == "allow", 0).alias("label")), **fitting)
+    feats = {**lexical(F.col(url), F.col("host"), F.col("path")), **_suffixes(F.col("host"))}
+    out = model.with_rates(out.withColumn(row, once(F.struct(*[c.alias(k) for k, c in feats.items()]))), row)
+    out = out.withColumn("block_margin", once(F.round(model.margin(F.col(row), F.col(f"{row}_rates")), 6)))
     out = out.withColumn("verdict", F.coalesce(of_rule, F.when(F.col("block_margin") >= limit, "block").otherwise("allow")))
-    return out.drop("u_")
+    return out.drop(url, row, f"{row}_rates")
