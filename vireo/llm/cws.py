@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vireo.llm.common import mix64, ordered, raw, slices
+from vireo.llm.common import mix64, ordered, raw, slices, small_batches
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,6 +98,7 @@ def signature(text: bytes, samples: int = 64) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = 64) -> DataFrame:
     """(id_col, fingerprint) of every row: the samples of its words by their counts, four
     hex digits each. Null text counts as empty, and texts without words have zeros."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -130,6 +131,7 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     follows its last. The bounds come from a quantile sketch of the ids.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), ordered(F.col(id_col)).alias("did"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tie"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = docs.select(ordered(F.col(id_col)).alias("did"))
@@ -157,7 +159,7 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     places = F.when(up.isNull(), F.array(place(part(F.col("did")), False))).otherwise(F.array(place(part(F.col("did")), False), place(up, True)))
     dealt = rows.mapInArrow(pack, f"id {kind}, did long, tie long, packed binary").withColumn("to", F.explode(places))
     dealt = dealt.select("id", "did", "tie", "packed", F.col("to.part").alias("to"), F.col("to.copy").alias("copy"))
-    dealt = dealt.repartition(n, "to").sortWithinPartitions("to", "copy", F.desc("did"), "tie")
+    dealt = dealt.repartitionById(n, F.col("to").cast("int")).sortWithinPartitions("to", "copy", F.desc("did"), "tie")
 
     def run(batches):
         sample = sampler(samples)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vireo.llm import gbt
-from vireo.llm.common import once
+from vireo.llm.common import once, spare
 from vireo.llm.spans import apart, let, matches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -243,19 +243,20 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", trained=None) ->
     """
     model, limits, _ = trained or train(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    wide, more = spare(docs, "p_wide_"), spare(docs, "p_more_")
     out = docs.withColumn("p_base", once(_concat([_base(k, text) for k in KINDS])))
-    out = out.withColumn("p_wide_", once(candidates(text, F.col("p_base"))))
+    out = out.withColumn(wide, once(candidates(text, F.col("p_base"))))
     limit = F.array(*[F.lit(x if x != float("inf") else 1e9) for x in limits])
-    scored = F.transform(F.col("p_wide_"), lambda c: F.struct(c["start"], c["no"], c["end"], F.round(model.margin(lambda f: c["f"][f]), 6).alias("margin")))
+    scored = F.transform(F.col(wide), lambda c: F.struct(c["start"], c["no"], c["end"], F.round(model.margin(lambda f: c["f"][f]), 6).alias("margin")))
     accepted = F.filter(scored, lambda c: c["margin"] >= F.get(limit, c["no"]))
 
     best = F.sort_array(F.transform(accepted, lambda c: F.struct((-c["margin"]).alias("less"), c["no"].alias("no"), c["start"].alias("start"), (-c["end"]).alias("far"))))
     none = F.array().cast("array<struct<start:bigint,no:int,end:bigint>>")
     meets = lambda took, c: F.exists(took, lambda x: (x["start"] < -c["far"]) & (x["end"] > c["start"]))
     add = lambda took, c: F.when(meets(took, c), took).otherwise(F.array_append(took, F.struct(c["start"].alias("start"), c["no"].alias("no"), (-c["far"]).alias("end"))))
-    out = out.withColumn("p_wide_", once(best)).withColumn("p_more_", once(F.aggregate("p_wide_", none, add)))
-    out = out.withColumn("p_spans", once(F.sort_array(F.concat("p_base", "p_more_")))).withColumn("p_base", F.sort_array("p_base"))
-    return out.drop("p_wide_", "p_more_")
+    out = out.withColumn(wide, once(best)).withColumn(more, once(F.aggregate(wide, none, add)))
+    out = out.withColumn("p_spans", once(F.sort_array(F.concat("p_base", more)))).withColumn("p_base", F.sort_array("p_base"))
+    return out.drop(wide, more)
 
 
 def listed(spans: Column) -> Column:
