@@ -202,6 +202,8 @@ def test_training(spark):
     assert np.array_equal(found, clusters.train(refs.repartition(5), 5, sample=300, iterations=10))
     lcg = clusters.Lcg(0xDEADBEEFCAFEBABE)
     assert lcg.next() == (0xDEADBEEFCAFEBABE * 6364136223846793005 + 1442695040888963407) % 2**64
+    draws = clusters.Lcg(0xDEADBEEFCAFEBABE)
+    assert [draws.below(50_000) for _ in range(3)] == [24313, 20016, 48273]
     assert clusters.draw_sample(3, 5, lcg) == [0, 1, 2] and len(clusters.draw_sample(10, 4, lcg)) == 4
     same = clusters.seed_centroids(np.zeros((4, 14), np.float32), 3, lcg)
     assert same.shape == (3, 14)

@@ -30,7 +30,7 @@ class Lcg:
         return self.state
 
     def below(self, n: int) -> int:
-        return self.next() % n
+        return (self.next() >> 33) % n
 
     def unit(self) -> float:
         return (self.next() >> 11) / float(1 << 53)
@@ -119,7 +119,9 @@ def train(references: DataFrame, k: int, sample: int = 50_000, iterations: int =
         places = draw_sample(n, max(1, min(sample, n)), rng)
         drawn = spark.createDataFrame(pd.DataFrame({"ref_id": sorted(set(places))}), "ref_id long")
         rows = references.join(F.broadcast(drawn), "ref_id").toPandas().set_index("ref_id")
-        points = dequantized(rows.loc[[p for p in places if p in rows.index], QUANTS].to_numpy(np.int64))
+        if len(rows) < len(set(places)):
+            raise ValueError("ref_id is not dense from 0")
+        points = dequantized(rows.loc[places, QUANTS].to_numpy(np.int64))
         first = seed_centroids(points, k, rng)
     centroids, before = first.astype(np.float32), None
     references = references.persist()
