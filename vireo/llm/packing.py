@@ -112,7 +112,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     def encode(batches):
         run, squeeze = encoder(path), zstandard.ZstdCompressor(level=1).compress
         place = np.uint64(TaskContext.get().partitionId() << 40)  # of the task's next row among all
-        for block in blocks(batches, "text", 16 << 20):
+        for block in blocks(batches, "text", 8 << 20):
             row = 0
             for group in run.groups(raw(block, "text")):
                 ids = [np.r_[x, end] for x in group]
