@@ -73,7 +73,11 @@ def rounds(spark: SparkSession, name: str):
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def few(df: DataFrame, most: int = 500_000) -> DataFrame:
+#: Short rows that are broadcast at most.
+MOST_SENT = 500_000
+
+
+def few(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
     """df, to be broadcast if it has `most` short rows or fewer; else joined by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vireo.llm.common import LOWER, cut, few, raw, slices, small_batches
+from vireo.llm.common import LOWER, MOST_SENT, cut, few, raw, slices, small_batches
 from vireo.llm.components import connected_components
 from vireo.llm.simhash import near_links, simhash
 
@@ -123,6 +123,14 @@ def _pairs(fp, a, b):
     return np.unique(np.stack([x, y], axis=1)[x != y], axis=0).T
 
 
+def _close(cols, num: int, den: int):
+    """A test of pairs by the parities of their sets. Every parity in which two sets differ needs
+    a shingle that one of them has alone, so pairs that differ in more parities than similar
+    sets may have such shingles are left out: none of them is similar enough."""
+    n, odd = cols[2].astype(np.int64), np.stack(cols[4 : 4 + PARITIES], axis=1).astype(np.int64).view(np.uint64)
+    return lambda a, b: (num + den) * np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64) <= (den - num) * (n[a] + n[b])
+
+
 def _stars(num: int, den: int):
     """Candidates that join each key's rows cheaply: all with the first, and neighbours."""
 
@@ -133,29 +141,26 @@ def _stars(num: int, den: int):
         a, b = np.r_[first, every[:-1]], np.r_[every, every[1:]]
         ok = (cols[0][a] == cols[0][b]) & (a != b)
         a, b = a[ok], b[ok]
-        ok = _possible(cols, a, b, num, den)
+        ok = _possible(cols, a, b, num, den) & _close(cols, num, den)(a, b)
         yield _pairs(cols[1], a[ok], b[ok])
 
     return run
 
 
 def _others(num: int, den: int):
-    """All candidates of each key that are not joined yet. Every parity in which two sets differ
-    needs a shingle that one of them has alone, so pairs that differ in more parities than
-    similar sets may have such shingles are left out: none of them is similar enough."""
+    """All candidates of each key that are not joined yet."""
 
     def run(cols):
         start, size = _sizes(cols[0])
-        label, n = cols[4], cols[2].astype(np.int64)
-        odd = np.stack(cols[5:], axis=1).astype(np.int64).view(np.uint64)
+        label, close = cols[4 + PARITIES], _close(cols, num, den)
         for s, m in zip(start.tolist(), size.tolist()):
             if (label[s : s + m] == label[s]).all():
                 continue
             for x in range(s, s + m - 1):
                 b = np.arange(x + 1, s + m)
                 b = b[label[b] != label[x]]
-                b = b[_possible(cols, np.full(len(b), x), b, num, den)]
-                b = b[(num + den) * np.bitwise_count(odd[b] ^ odd[x]).sum(axis=1, dtype=np.int64) <= (den - num) * (n[x] + n[b])]
+                a = np.full(len(b), x)
+                b = b[_possible(cols, a, b, num, den) & close(a, b)]
                 if len(b):
                     yield _pairs(cols[1], np.full(len(b), x), b)
 
@@ -222,6 +227,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = sets.select("fp", "n", "prefix").dropDuplicates(["fp"]).select("fp", "n", F.posexplode("prefix").alias("i", "h")).select("h", "fp", "n", "i")
     as_row = lambda c: pa.RecordBatch.from_arrays([pa.array(x) for x in c], names=["h", "fp", "n", "i"])
     met = cut(by_key(met).mapInArrow(_keys(as_row, _shared(num, den)), _ROW))
+    # what the sets' parities are, for the sets that met; few are sent to where the rows are, and
+    # keep the rows' order, many meet them by a shuffle
+    own = [f"o{i}" for i in range(PARITIES)]
+    odd = reps.join(few(met.select("fp").distinct()), "fp", "left_semi").select("fp", *[F.get("odd", i).alias(o) for i, o in enumerate(own)])
+    odd = cut(odd)
+    small = odd.count() <= MOST_SENT
+    joined_odd = met.join(F.broadcast(odd) if small else odd, "fp").select("h", "fp", "n", "i", *own)
+    met = joined_odd if small else cut(by_key(joined_odd))
     links = cut(_first_links(reps))
 
     def whole(batches):
@@ -230,7 +243,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(squeeze, raw(part, "text"))), pa.binary())], names=["fp", "packed"])
 
-    needed = met.select("fp").union(links.select("a")).union(links.select("b")).distinct()
+    needed = odd.select("fp").union(links.select("a")).union(links.select("b")).distinct()
     needed = cut(needed.join(reps.select("fp", "least"), "fp").select("fp", F.col("least").alias("key")))
     texts = docs.join(few(needed), "key").select("fp", "text")
     full = cut(texts.mapInArrow(whole, "fp long, packed binary"))  # a repeated id gives equal rows, which do no harm
@@ -261,8 +274,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = met.sortWithinPartitions("h", "fp").mapInArrow(_keys(_ab, _stars(num, den)), "a long, b long")
     stars = cut(verified(stars.union(links).distinct()))
     joined = connected_components(stars).withColumnRenamed("node", "fp")
-    known = reps.join(joined, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), *[F.get("odd", i).alias(f"o{i}") for i in range(PARITIES)])
-    left = by_key(met.join(known, "fp").select("h", "fp", "n", "i", *known.columns[1:]))
+    left = met.join(F.broadcast(joined) if small else joined, "fp", "left").select("h", "fp", "n", "i", *own, F.coalesce("label", "fp").alias("label"))
+    left = left.sortWithinPartitions("h", "fp") if small else by_key(left)
     edges = stars.unionByName(verified(left.mapInArrow(_keys(_ab, _others(num, den)), "a long, b long").distinct()))
     labels = connected_components(edges).withColumnRenamed("node", "fp")
     labelled = cut(reps.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
