@@ -66,20 +66,15 @@ def _chances(groups: DataFrame, targets: DataFrame) -> DataFrame:
     return _same(targets, fits.groupBy("source").agg(F.max_by("rate", "size").alias("rate")), "left")
 
 
-def _blocked(order: DataFrame, state: DataFrame, hot: bool) -> DataFrame:
+def _blocked(order: DataFrame, state: DataFrame) -> DataFrame:
     """Where the walk down the order stops for each source of state(source, lo, gap): the first
     document after lo, no larger than the gap, that the sum of such documents up to it does not
     leave room for. (source, hi, words): it, and the words before it; hi is null if all fit.
 
-    A hot source is not ranked whole: sums of ranges of the order find the range in which the
+    No source is ranked whole: sums of ranges of the order find the range in which the
     document lies, which is cut into smaller ones until it has few enough rows to rank."""
     rows = _same(order, state).where((F.col("lo").isNull() | (F.col("key") > F.col("lo"))) & (F.col("size") <= F.col("gap")))
-    if not hot:
-        upto = F.sum("size").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        stop = F.min(F.when(F.col("upto") > F.col("gap"), F.struct("key", (F.col("upto") - F.col("size")).alias("words")))).alias("hit")
-        hit = rows.withColumn("upto", upto).groupBy("source").agg(stop, F.sum("size").alias("all"))
-        return hit.select("source", F.col("hit.key").alias("hi"), F.coalesce("hit.words", "all").alias("words"))
-    shift = BITS
+    shift = BITS - STEP
     found = state.select("source", "gap", F.lit(0).cast("long").alias("range"), F.lit(0).cast("long").alias("before"))
     while True:
         own = _same(rows.drop("gap", "lo"), found).where(F.shiftright("place", min(shift + STEP, BITS)) == F.col("range")).drop("range")
@@ -106,7 +101,6 @@ def _walk(order: DataFrame, gaps: DataFrame) -> DataFrame:
     still fits, until at one that does not the gap is no more than close. steps are stretches (lo, hi, gap): of the documents between, those no larger than
     the gap are taken."""
     kind = order.schema["key"].dataType
-    hot = (order.groupBy("source").count().agg(F.max("count")).first()[0] or 0) > RANKED
     none = F.lit(None).cast(kind)
     with rounds(order.sparkSession, "walk") as keep:
         steps = F.array().cast(f"array<struct<lo:{kind.simpleString()},hi:{kind.simpleString()},gap:bigint>>")
@@ -115,7 +109,7 @@ def _walk(order: DataFrame, gaps: DataFrame) -> DataFrame:
             on = state.where("on and gap > close")
             if on.isEmpty():
                 return cut(state.select("source", "gap", "close", "steps"))
-            at = _blocked(order, on.select("source", "lo", "gap"), hot)
+            at = _blocked(order, on.select("source", "lo", "gap"))
             step = _same(state, at, "left")
             took = F.array_append("steps", F.struct("lo", "hi", "gap"))
             some = F.col("words").isNotNull()
