@@ -2,8 +2,9 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 from tests.llm import brute
-from vireo.llm.near import near_copies
+from vireo.llm.near import near_copies, unlike, wide_parities
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -36,6 +37,17 @@ def test_groups_are_those_of_exact_similarity(spark):
     assert {r.doc_id: r.component_id for r in near_copies(docs).collect()} == comp
 
 
+def test_wide_parities_never_exceed_what_sets_do_not_share():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 5, 512, 513, 3000, 9000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for drop, add in ((0, 0), (n // 10, n // 9), (n // 2, 0), (n, 40), (0, 2 * n)):
+            b = np.union1d(a[drop:], rng.integers(0, 2**64, add, dtype=np.uint64))
+            apart = len(np.setxor1d(a, b))
+            assert unlike(wide_parities(a), wide_parities(b)) <= apart
+            assert unlike(wide_parities(b), wide_parities(a)) % 2 == apart % 2
+
+
 def test_stage_drops_near_copies_at_0_8(spark, sf_dir):
     texts = planted()
     rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]

@@ -35,11 +35,26 @@ def shingles(text: bytes, k: int = 5) -> np.ndarray:
     return np.unique(np.array([h(joined[s:e]) for s, e in zip(starts, (ends[k - 1 :] - 1).tolist())], dtype=np.uint64))
 
 
-def parities(h: np.ndarray) -> np.ndarray:
-    odd = np.bincount((h % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+def parities(h: np.ndarray, bits: int = 64 * PARITIES) -> np.ndarray:
+    odd = np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def wide_parities(h: np.ndarray) -> np.ndarray:
+    """Parities by as many last bits of the hash as give a place to each shingle, one byte for
+    eight: in long sets every one of a fixed few parities is odd by chance."""
+    return parities(h, max(64 * PARITIES, 1 << (len(h) - 1).bit_length() if len(h) else 0))
+
+
+def unlike(x: np.ndarray, y: np.ndarray) -> int:
+    """Parities in which two sets differ, by those of the smaller number of bits: of a set's
+    parities, the halves' exclusive or is what half as many bits give."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     at = np.cumsum([0, *map(len, values)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.uint64), *values]).view(np.int64)))
@@ -206,22 +221,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def begin(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                fp, sim, n, odd, prefix = [], [], [], [], []
+                fp, sim, n, odd, wide, prefix = [], [], [], [], [], []
                 for t in raw(part, "text"):
                     h = shingles(t, shingle)
                     fp.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
                     sim.append(simhash(h))
                     n.append(len(h))
                     odd.append(parities(h))
+                    wide.append(wide_parities(h).tobytes())
                     if len(common) and len(h):
                         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                         h = h[np.argsort(np.where(common[at] == h, rank[at], 0), kind="stable")]
                     prefix.append(h[: len(h) - -(-num * len(h) // den) + 1])
                 long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), long(fp), long(sim), pa.array(n, pa.int32()), _lists(odd), _lists(prefix)], names=["key", "fp", "sim", "n", "odd", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), long(fp), long(sim), pa.array(n, pa.int32()), _lists(odd), pa.array(wide, pa.binary()), _lists(prefix)], names=["key", "fp", "sim", "n", "odd", "wide", "prefix"])
 
-    sets = cut(docs.mapInArrow(begin, f"key {kind}, fp long, sim long, n int, odd array<long>, prefix array<long>"))
-    reps = cut(sets.groupBy("fp").agg(F.min("key").alias("least"), F.min("sim").alias("sim"), F.min("odd").alias("odd")))
+    sets = cut(docs.mapInArrow(begin, f"key {kind}, fp long, sim long, n int, odd array<long>, wide binary, prefix array<long>"))
+    reps = cut(sets.groupBy("fp").agg(F.min("key").alias("least"), F.min("sim").alias("sim"), F.min("odd").alias("odd"), F.min("n").alias("n"), F.min("wide").alias("wide")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_key = lambda df: df.repartition(parts, "h").sortWithinPartitions("h", "fp")
     met = sets.select("fp", "n", "prefix").dropDuplicates(["fp"]).select("fp", "n", F.posexplode("prefix").alias("i", "h")).select("h", "fp", "n", "i")
@@ -267,8 +283,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ok.append((num + den) * o >= num * (len(p) + len(q)))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    def alike(batches):
+        for batch in batches:
+            a, b, n, m = (batch.column(i) for i in range(4))
+            own = [np.frombuffer(v, "<u8") for c in ("x", "y") for v in raw(batch, c)]
+            most = (den - num) * (n.to_numpy().astype(np.int64) + m.to_numpy())
+            apart = np.fromiter(map(unlike, own[: len(a)], own[len(a) :]), np.int64, len(a))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array((num + den) * apart <= most))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs that the sets' wide parities do not rule out: those are much shorter than texts."""
+        of = lambda c, n, w: reps.select(F.col("fp").alias(c), F.col("n").alias(n), F.col("wide").alias(w))
+        rows = pairs.join(of("b", "m", "y"), "b").join(of("a", "n", "x"), "a")
+        return rows.select("a", "b", "n", "m", "x", "y").mapInArrow(alike, "a long, b long")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(full.select(F.col("fp").alias("b"), F.col("packed").alias("y")), "b").join(full.select(F.col("fp").alias("a"), F.col("packed").alias("x")), "a")
+        rows = possible(pairs).join(full.select(F.col("fp").alias("b"), F.col("packed").alias("y")), "b").join(full.select(F.col("fp").alias("a"), F.col("packed").alias("x")), "a")
         return rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
     stars = met.sortWithinPartitions("h", "fp").mapInArrow(_keys(_ab, _stars(num, den)), "a long, b long")
