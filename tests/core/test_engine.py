@@ -11,7 +11,7 @@ from vireo.functions.features import FEATURES, QUANTS
 from vireo.operators import clusters, ivf, report
 from vireo.operators.nearest import nearest_exact, nearest_sql, top_k, votes
 from vireo.plans.catalog import bodies
-from vireo.plans.engine import BuildConfig, Engine, build_config, prepare_references, prepare_transactions, search_config
+from vireo.plans.engine import BuildConfig, Engine, build_config, prepare_references, prepare_transactions, search_config, timeout_micros
 from vireo.sources import binary
 from vireo.sources.requests import parse_requests, read_payloads, read_references
 from vireo.sources.shared import scratch
@@ -223,6 +223,8 @@ def test_percentiles(spark):
 def test_settings():
     assert search_config({}) == ivf.SearchConfig(1, 1, False)
     assert search_config({"IVF_NPROBE": "8", "IVF_FULL_NPROBE": "24", "IVF_REPAIR": "yes"}) == ivf.SearchConfig(8, 24, True)
+    assert [timeout_micros(e) for e in ({}, {"KNN_TIMEOUT_US": "0"}, {"KNN_TIMEOUT_US": "-5"}, {"KNN_TIMEOUT_US": "x"}, {"KNN_TIMEOUT_US": "250"})] == [1000, 1000, 1000, 1000, 250]
+    assert search_config({"KNN_TIMEOUT_US": "250"}, 40).budget == 10_000 and search_config({}).budget is None
     assert search_config({"IVF_NPROBE": "x", "IVF_REPAIR": "maybe"}) == ivf.SearchConfig(1, 1, False)
     assert build_config({"INDEX_KIND": "exact"}).kind == "exact" and build_config({"INDEX_KIND": "other"}).kind == "ivf"
     assert ivf.SearchConfig(100, 3).bounds(4096) == (64, 64) and ivf.SearchConfig(0, 99).bounds(10) == (1, 10)
@@ -230,3 +232,20 @@ def test_settings():
 
 def test_bodies_of_the_tables_parse(spark, sf_dir):
     assert bodies(spark, sf_dir).select("qid").distinct().count() == bodies(spark, sf_dir).count()
+
+
+def test_bench_asks_requests_in_turn(spark):
+    scored = spark.createDataFrame([(0, 5), (1, 0), (2, 3)], "position long, votes int")
+    for n in (0, 1, 2, 3, 7):
+        row = report.bench_summary(scored, n).first()
+        assert (row.iterations, row.payloads, row.checksum) == (n, 3, sum([5, 0, 3][i % 3] for i in range(n)) / 5)
+    assert tuple(report.bench_summary(scored.limit(0), 4).first()) == (4, 0, 0.0)
+
+
+def test_open_index_goes_by_version(spark, tmp_path):
+    bad = tmp_path / "bad"
+    bad.write_bytes(b"VIREO01\0" + (9).to_bytes(4, "little") + bytes(40))
+    (tmp_path / "short").write_bytes(b"VIREO")
+    for name in ("bad", "short"):
+        with pytest.raises(ValueError):
+            binary.open_index(spark, str(tmp_path / name))

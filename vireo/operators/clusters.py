@@ -127,8 +127,9 @@ def train(references: DataFrame, k: int, sample: int = 50_000, iterations: int =
     references = references.persist()
     try:
         for _ in range(max(1, iterations)):
-            now = assign(references, centroids).select("ref_id", "cid", *QUANTS).persist()
-            moved = n if before is None else now.join(before.select("ref_id", F.col("cid").alias("old")), "ref_id").where("cid <> old").count()
+            rows = references if before is None else before.select("ref_id", F.col("cid").alias("old"), *QUANTS)
+            now = assign(rows, centroids).persist()  # the cluster of the round before stays in the row
+            moved = n if before is None else now.where("cid <> old").count()
             centroids = centroid_array(update(now, centroid_frame(spark, centroids)))
             if before is not None:
                 before.unpersist()

@@ -23,6 +23,17 @@ def compare_scores(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def bench_summary(scored: DataFrame, iterations: int = 1000) -> DataFrame:
+    """One row for a bench that asks requests (position dense from 0, votes) in turn, over and
+    over, `iterations` times: iterations, payloads, and the sum of the scores given. Each request
+    counts as often as its turn comes; none is scored twice. No requests give a sum of 0."""
+    n = scored.agg(F.count("*").alias("payloads"))
+    turn = scored.select(F.col("position").cast("long"), F.col("votes").cast("long")).crossJoin(F.broadcast(n))  # one row
+    times = F.expr(f"{int(iterations)}L div payloads") + (F.col("position") < F.expr(f"{int(iterations)}L % payloads")).cast("long")
+    out = turn.agg(F.count("*").alias("payloads"), F.coalesce(F.sum(times * F.col("votes")), F.lit(0)).alias("given"))
+    return out.select(F.lit(int(iterations)).cast("long").alias("iterations"), "payloads", (F.col("given") / 5).alias("checksum"))
+
+
 def latency_report(latencies: DataFrame, nanos: str = "ns", bins: int = 4096) -> DataFrame:
     """One row: count, average in whole microseconds, and percentiles p50, p95, p99 and the
     greatest, where percentile p of n is the element at place (n - 1) * p div 100 from 0.

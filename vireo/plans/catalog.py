@@ -57,7 +57,7 @@ def _index(points: DataFrame) -> ivf.Index:
     seeds = clusters.dequantized(first[QUANTS].to_numpy(np.int64))
     frame = clusters.centroid_frame(spark, seeds)
     centroids = clusters.centroid_array(clusters.update(clusters.assign(refs, seeds), frame))
-    members = clusters.assign(refs, centroids)
+    members = clusters.assign(refs, centroids).persist()  # every tier of a search reads them
     return ivf.Index(centroids, clusters.layout(members, clusters.centroid_frame(spark, centroids)), members)
 
 
@@ -280,11 +280,11 @@ def latency_percentiles(spark, sf_dir):
     return report.latency_report(e.select(F.floor(F.col("value") * 1_000_000).cast("long").alias("ns")))
 
 
-def bodies(spark, sf_dir) -> DataFrame:
-    """Transactions as JSON text; some are broken, by id."""
-    t = transactions(spark, sf_dir)
+def bodies(spark, sf_dir, every: int = 1) -> DataFrame:
+    """Transactions whose id `every` divides, as JSON text; some are broken, by id over `every`."""
+    t = transactions(spark, sf_dir).where(F.col("qid") % every == 0)
     text = F.to_json(F.struct("id", "transaction", "customer", "merchant", "terminal", "last_transaction"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
-    case = F.col("qid") % 10
+    case = F.floor(F.col("qid") / every) % 10
     broken = (
         F.when(case == 1, F.concat(text, F.lit(" x")))
         .when(case == 2, F.replace(text, F.lit('"installments"'), F.lit('"instalments"')))
@@ -308,13 +308,38 @@ def kmeanspp_init(spark, sf_dir):
     return clusters.centroid_frame(spark, clusters.train(refs, 16, iterations=1))
 
 
-@query()
+@query(O.BODIES)
+def score_bodies(spark, sf_dir):
+    """Valid and broken bodies through the engine: a broken one is approved with score 0."""
+    engine = Engine(spark, BuildConfig("exact", encoding="i16"))
+    engine.references = _as_refs(_points(spark, sf_dir).persist()).select("ref_id", "label", *QUANTS)
+    return engine.score_bodies(bodies(spark, sf_dir, 20)).select("qid", "votes", "status", "approved", "response")
+
+
+@query(O.BENCH)
+def bench_summary(spark, sf_dir):
+    p = _points(spark, sf_dir).persist()
+    voted = votes(_asked(p), _exact(p))
+    return report.bench_summary(voted.select(F.expr("qid div 20").alias("position"), "votes"), 1234)
+
+
+@query(O.MEMBERS)
+def ivf_roundtrip(spark, sf_dir):
+    """Members of an inverted file, written and read again: ref_id is the place in the file."""
+    from vireo.sources.binary import open_index, write_ivf
+    from vireo.sources.shared import scratch
+
+    path = write_ivf(_index(_points(spark, sf_dir).persist()), scratch(spark, "ivf-index"))
+    return open_index(spark, path).members.select("ref_id", "cid", "label", *QUANTS)
+
+
+@query(O.ROUNDTRIP)
 def index_roundtrip(spark, sf_dir):
-    from vireo.sources.binary import read_exact, write_exact
+    from vireo.sources.binary import open_index, write_exact
     from vireo.sources.shared import scratch
 
     refs = _vector_points(spark, sf_dir, "u8").select("ref_id", "label", *QUANTS)
-    return read_exact(spark, write_exact(refs, scratch(spark, "exact-index")))
+    return open_index(spark, write_exact(refs, scratch(spark, "exact-index")))
 
 
 @query(O.SCORES)

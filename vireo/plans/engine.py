@@ -43,9 +43,18 @@ def build_config(env=os.environ) -> BuildConfig:
     return BuildConfig(kind, _number(env, "IVF_CLUSTERS", 4096), _number(env, "IVF_SAMPLE", 50_000), _number(env, "IVF_KMEANS_ITERS", 25))
 
 
-def search_config(env=os.environ) -> ivf.SearchConfig:
+def timeout_micros(env=os.environ) -> int:
+    """Fixed value: 1000 microseconds, unless the setting is a greater whole number than 0."""
+    given = _number(env, "KNN_TIMEOUT_US", 0)
+    return given if given > 0 else 1000
+
+
+def search_config(env=os.environ, records_per_micro: float | None = None) -> ivf.SearchConfig:
+    """records_per_micro: what a query scans in a microsecond, to make a budget of the timeout;
+    without it there is no budget."""
     probes = _number(env, "IVF_NPROBE", 1)
-    return ivf.SearchConfig(probes, _number(env, "IVF_FULL_NPROBE", probes), _flag(env, "IVF_REPAIR"))
+    budget = None if records_per_micro is None else int(timeout_micros(env) * records_per_micro)
+    return ivf.SearchConfig(probes, _number(env, "IVF_FULL_NPROBE", probes), _flag(env, "IVF_REPAIR"), budget)
 
 
 def prepare_references(references: DataFrame, encoding: str = "i16") -> DataFrame:
@@ -83,7 +92,7 @@ class Engine:
         self.references = prepare_references(references, self.encoding).drop(*FEATURES)
         if c.kind != "exact":
             centroids = clusters.train(self.references, c.clusters, c.sample, c.iterations)
-            members = clusters.assign(self.references, centroids)
+            members = clusters.assign(self.references, centroids).persist()  # every tier of a search reads them
             frame = clusters.centroid_frame(self.spark, centroids)
             self.index = ivf.Index(centroids, clusters.layout(members, frame), members)
         return self
@@ -107,6 +116,14 @@ class Engine:
             self.index = ivf.Index(clusters.centroid_array(read(f"{path}/centroids")), read(f"{path}/clusters"), self.references)
         return self
 
+    def warm(self) -> int:
+        """Keeps what a search reads on the executors; how many references that is."""
+        self.references = self.references.persist()
+        if self.index is None:
+            return self.references.count()
+        self.index.members = self.index.members.persist()
+        return self.index.members.count()
+
     def vote(self, prepared: DataFrame) -> DataFrame:
         """(qid, votes, status) of transactions from prepare_transactions."""
         if self.index is None:

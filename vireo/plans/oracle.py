@@ -119,8 +119,16 @@ def knn_vectors() -> str:
     return _vector_points() + _nearest() + _KNN
 
 
-SCORES = _points() + _nearest() + """
-SELECT qid, votes, votes < 3 AS approved, '{"approved":' || CASE WHEN votes < 3 THEN 'true' ELSE 'false' END || ',"fraud_score":' || ['0.0', '0.2', '0.4', '0.6', '0.8', '1.0'][votes + 1] || '}' AS response FROM vo"""
+_ANSWER = """votes < 3 AS approved, '{"approved":' || CASE WHEN votes < 3 THEN 'true' ELSE 'false' END || ',"fraud_score":' || ['0.0', '0.2', '0.4', '0.6', '0.8', '1.0'][votes + 1] || '}' AS response"""
+SCORES = _points() + _nearest() + f"\nSELECT qid, votes, {_ANSWER} FROM vo"
+BODIES = _points() + _nearest() + f"""
+SELECT qid, votes, status, {_ANSWER} FROM (
+  SELECT qid, CASE WHEN ok THEN votes ELSE 0 END AS votes, CASE WHEN ok THEN 'ok' ELSE 'invalid' END AS status FROM (SELECT *, qid // 20 % 10 NOT IN (1, 2, 3, 4, 5) AS ok FROM vo)
+)"""
+BENCH = _points() + _nearest() + """,
+tu AS (SELECT votes, row_number() OVER (ORDER BY qid) - 1 AS turn, count(*) OVER () AS payloads FROM vo)
+SELECT CAST(1234 AS BIGINT) AS iterations, max(payloads) AS payloads, CAST(sum(votes) AS DOUBLE) / 5 AS checksum FROM range(1234) r(i) JOIN tu ON i % payloads = turn"""
+ROUNDTRIP = f"{_vector_points('u8')}\nSELECT CAST(row_number() OVER (ORDER BY qid) - 1 AS BIGINT) AS ref_id, CAST(label AS INT) AS label, {_names('q')} FROM pt"
 
 _DQ = ", ".join(f"CASE WHEN q{i} < 0 THEN -1::FLOAT ELSE {div(f'q{i}', '10000')} END AS x{i}" for i in D)
 
@@ -161,6 +169,7 @@ CHANGED = _TRAINED + "\nSELECT CAST(count(*) FILTER (WHERE a0.cid <> a1.cid) AS
 COUNTS = _TRAINED + "\nSELECT cid, n FROM ly"
 OFFSETS = _TRAINED + '\nSELECT cid, "offset" FROM ly'
 BOXES = _TRAINED + f"\nSELECT cid, {_names('lo')}, {_names('hi')} FROM ly"
+MEMBERS = _TRAINED + f"\nSELECT CAST(row_number() OVER (ORDER BY cid, ref_id) - 1 AS BIGINT) AS ref_id, cid, CAST(label AS INT) AS label, {_names('q')} FROM a1"
 LAYOUT = _TRAINED + "\nSELECT ref_id, cid, CAST(row_number() OVER (PARTITION BY cid ORDER BY ref_id) - 1 AS INT) AS pos FROM a1"
 _RANKED = _TRAINED + f""",
 pr AS (SELECT qid, cid, row_number() OVER (PARTITION BY qid ORDER BY {_sq32('p.f', 'c.c')}, cid) - 1 AS rank FROM pt p, c1 c WHERE p.qid % 20 = 0)"""
