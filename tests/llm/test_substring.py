@@ -1,7 +1,7 @@
 import random
 
 from tests.llm import brute
-from vireo.llm.substring import dedup_passages
+from vireo.llm.substring import _long_paths, _shared_places, dedup_passages
 
 
 def check(spark, rows, window=50):
@@ -27,6 +27,24 @@ def test_planted_passages(spark):
     check(spark, rows)
 
 
+def test_paths_end_at_branches(spark):
+    rng = random.Random(7)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, apart = say(400).split(), say(300)
+
+    def lengths(texts):
+        base = spark.createDataFrame(list(enumerate(texts)), "did long, text string").selectExpr("did", "did as rid", "text")
+        return sorted(r.length for r in _long_paths(_shared_places(base, 50, 16), 50, 16).collect())
+
+    whole = [f"{say(90)} {' '.join(passage)} {say(90)}" for _ in range(3)]
+    (one,) = lengths(whole)
+    assert 400 - 2 * 34 <= one <= 400
+    assert lengths([*whole, apart]) == [one]
+    left, right = lengths([*whole, f"{say(70)} {' '.join(passage[:200])} {say(70)}"])
+    assert left + right <= 400 and min(left, right) >= 200 - 2 * 34
+    assert lengths([apart, say(200)]) == []
+
+
 def test_empty_and_test_table(spark, sf_dir):
     check(spark, [])
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]

@@ -1,12 +1,16 @@
 """Removal of long word passages that an earlier document already holds.
 
-The words' graph: every run of `kmer` words is an edge of a de Bruijn graph, and documents
-are walks in it. Only minimiser edges are kept (the least hash of each window's edges),
-which two equal windows always share. Edges that several documents walk are the repeated
-ones; consecutive repeated edges of a document are compacted to one path before anything is
-sent on, and joined to the document they came from. There, the source coordinates are
-checked: every whole window of the path is compared, by two independent hashes of its
-words, with the same window in other documents.
+A sparse de Bruijn graph holds the words. Nodes are runs of `kmer` words, of which only
+minimisers are kept (the least hash of each window's runs), which two equal windows always
+share; an edge leads from one minimiser of a document to the next, and is known by a hash
+of all words from the one's start to the other's end. Nodes that one document alone has
+are left out. Edges that are the only way out of one node and the only way into the next,
+where no document starts or ends, are nonbranching: joins on their ends compact them to
+paths, which every document that meets one of their nodes walks from end to end.
+
+The source coordinates are then checked on the words of each document: a path that is as
+long as a window is one span, compared as a whole by two hashes of all its words; windows
+that no path holds whole (they reach over a branch or an end) are compared one by one.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vireo.llm.common import mix64, ordered, raw, slices, small_batches
+from vireo.llm.common import cut, few, mix64, ordered, raw, rounds, scratch, slices, small_batches
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WS = np.zeros(256, dtype=bool)
@@ -54,13 +58,13 @@ class Rolling:
         return mix64((total[end] - total[start]) * self.down[start])
 
 
-_BYTES, _EDGE, _ONE, _TWO = Rolling(1), Rolling(2), Rolling(3), Rolling(4)
-_LETTER = _odd(5, 256)
+_BYTES, _EDGE, _ONE, _TWO, _BYTES2, _LINK = (Rolling(seed) for seed in (1, 2, 3, 4, 6, 8))
+_LETTER, _LETTER2 = _odd(5, 256), _odd(7, 256)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """One 64-bit hash for each word of all texts in turn, and where each text's words start
-    (one entry more than texts)."""
+def word_hashes(texts: list[bytes], twice: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """A 64-bit hash for each word of all texts in turn, if asked for a second one from the same
+    bytes with other numbers, and where each text's words start (one entry more than texts)."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     buf = np.frombuffer(b"\n".join(texts), dtype=np.uint8)  # the separator ends a word, as white space does
     black = ~_WS[buf]
@@ -69,7 +73,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begins = np.r_[0, np.cumsum(sizes + 1)]
     at = np.searchsorted(start, begins)
     at[-1] = len(start)
-    return _BYTES.spans(_LETTER[buf], start, end), at
+    return _BYTES.spans(_LETTER[buf], start, end), _BYTES2.spans(_LETTER2[buf], start, end) if twice else None, at
 
 
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -88,9 +92,9 @@ class Windows:
     edge[i] its k-mer's hash, least[i] the least hash of the window that starts there, valid[i]
     whether that window lies in one text."""
 
-    def __init__(self, texts: list[bytes], window: int, kmer: int):
+    def __init__(self, texts: list[bytes], window: int, kmer: int, twice: bool = False):
         self.window, self.kmer = window, kmer
-        self.words, self.at = word_hashes(texts)
+        self.words, self.words2, self.at = word_hashes(texts, twice)
         n = len(self.words)
         self.count = max(0, n - window + 1)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.at))
@@ -119,9 +123,18 @@ class Windows:
         masked[marked] = self.edge[marked]
         return np.flatnonzero(self.valid & (_sliding(masked, self.window - self.kmer + 1, np.minimum) == self.least))
 
-    def hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes of the windows that start at these positions."""
-        return _ONE.spans(self.words, at, at + self.window), _TWO.spans(self.words, at, at + self.window)
+    def links(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For anchors: the edge that leads to it, the edge that leads on, and how many words
+        on. Zero at a text's first and last anchor."""
+        prev, following, gap = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64), np.zeros(len(at), np.int32)
+        i = np.flatnonzero(self.text[at[1:]] == self.text[at[:-1]])
+        edge = np.maximum(_LINK.spans(self.words, at[i], at[i + 1] + self.kmer), np.uint64(1))
+        prev[i + 1], following[i], gap[i] = edge, edge, at[i + 1] - at[i]
+        return prev, following, gap
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of runs of words, from different hashes of each word."""
+        return _ONE.spans(self.words, start, end), _TWO.spans(self.words2, start, end)
 
 
 def _long(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -152,28 +165,28 @@ def _ranges(did, rid, start, end):
     return did[i], rid[i], start[i], np.maximum.reduceat(end, i) if len(i) else end[:0]
 
 
-def _edges(window: int, kmer: int, block: int = 1 << 18):
-    """Texts to edges (h, did, rid, pos, known). Within a block of the task's rows equal
-    edges are settled at once: one row of each hash goes on to be compared with other
-    tasks; the others only carry their place, and that they are repeated."""
+def _anchors(window: int, kmer: int, block: int = 1 << 18):
+    """Texts to anchors (h, did, rid, pos, known, prev, next, gap). Within a block of the task's rows equal
+    anchors are settled at once: one row of each hash goes on to be compared with other
+    tasks; the others only carry their place and edges, and that they are repeated."""
 
     def settle(rows):
-        h, did, rid, pos = (np.concatenate(x) for x in zip(*rows))
+        h, did, rid, pos, prev, following, gap = (np.concatenate(x) for x in zip(*rows))
         order = np.lexsort((did, h))
-        h, did, rid, pos = h[order], did[order], rid[order], pos[order]
+        h, did, rid, pos, prev, following, gap = (x[order] for x in (h, did, rid, pos, prev, following, gap))
         first = _runs(h)
         size = np.diff(np.r_[first, len(h)])
         many = np.maximum.reduceat(did, first) > did[first]
         known = np.repeat(many, size)
         lead = np.zeros(len(h), dtype=bool)
         lead[first] = True
-        # settled rows are dealt anywhere; an edge that one document alone has here, at
+        # settled rows are dealt anywhere; an anchor that one document alone has here, at
         # several places, is not settled, and all its places go on
         away = mix64(rid.view(np.uint64) + pos.astype(np.uint64))
         key = np.where(known & ~lead, away, h)
         for i in range(0, len(key), 100_000):
             j = slice(i, i + 100_000)
-            yield _record(h=key[j], did=did[j], rid=rid[j], pos=pos[j].astype(np.int32), known=known[j].astype(np.int8))
+            yield _record(key=key[j], h=h[j], did=did[j], rid=rid[j], pos=pos[j].astype(np.int32), known=known[j].astype(np.int8), prev=prev[j], next=following[j], gap=gap[j])
 
     def run(batches):
         held, n = [], 0
@@ -183,7 +196,7 @@ def _edges(window: int, kmer: int, block: int = 1 << 18):
                 at = w.anchors()
                 if len(at):
                     text = w.text[at]
-                    held.append((w.edge[at], _long(part, "did")[text], _long(part, "rid")[text], at - w.at[text]))
+                    held.append((w.edge[at], _long(part, "did")[text], _long(part, "rid")[text], at - w.at[text], *w.links(at)))
                     n += len(at)
                 if n >= block:
                     yield from settle(held)
@@ -213,40 +226,82 @@ def _groups(batches, key: str):
 
 
 def _repeated(batches):
-    """Edges sorted by hash to places (did, rid, pos) of those that two documents have."""
-    for b in _groups(batches, "h"):
-        h, did, rid, pos, known = (_long(b, c) for c in ("h", "did", "rid", "pos", "known"))
-        first = _runs(h)
-        size = np.diff(np.r_[first, len(h)])
+    """Anchors sorted by key to those that two documents have."""
+    for b in _groups(batches, "key"):
+        key, did, known = (_long(b, c) for c in ("key", "did", "known"))
+        first = _runs(key)
         hit = (np.maximum.reduceat(did, first) > np.minimum.reduceat(did, first)) | (np.maximum.reduceat(known, first) > 0)
-        keep = np.repeat(hit, size)
-        yield _record(did=did[keep], rid=rid[keep], pos=pos[keep].astype(np.int32))
+        keep = pa.array(np.repeat(hit, np.diff(np.r_[first, len(key)])))
+        yield b.filter(keep).select(["h", "did", "rid", "pos", "prev", "next", "gap"])
+
+
+def _shared_places(base: DataFrame, window: int, kmer: int) -> DataFrame:
+    """(h, did, rid, pos, prev, next, gap): the minimisers that two documents share, as a table
+    in the shared folder."""
+    spark = base.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    anchors = base.select("did", "rid", "text").mapInArrow(_anchors(window, kmer), "key long, h long, did long, rid long, pos int, known byte, prev long, next long, gap int")
+    repeated = anchors.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_repeated, "h long, did long, rid long, pos int, prev long, next long, gap int")
+    path = scratch(spark, "places")
+    repeated.write.parquet(path)
+    return spark.read.schema(repeated.schema).parquet(path)
+
+
+def _long_paths(places: DataFrame, window: int, kmer: int, part_rows: int = 500_000) -> DataFrame:
+    """(h, length): the first node of every nonbranching path of `window` words or more, and
+    how many words it has.
+
+    Nodes and their only edges are found by partially aggregated minima and maxima, so that
+    a node that many documents meet is one row a task before the shuffle. An edge joins the
+    node it leaves with the node it reaches; then each node finds its path's first by
+    pointer doubling, in as many joins as the longest path's length has binary digits. A
+    path is never closed: every document enters its walk somewhere, and there a second way
+    leads in."""
+    with rounds(places.sparkSession, "paths") as keep:
+        only = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c))
+        nodes = keep(places.groupBy("h").agg(only("prev").alias("way_in"), only("next").alias("way_out"), F.max("gap").alias("gap")))
+        leaves = nodes.where("way_out is not null").select(F.col("h").alias("back"), F.col("way_out").alias("edge"), F.col("gap").cast("long").alias("far"))
+        reached = nodes.where("way_in is not null").select("h", F.col("way_in").alias("edge"))
+        back = keep(leaves.join(reached, "edge").select("h", "back", "far"))
+        parts = max(1, -(-back.count() // part_rows))
+        while True:
+            far = back.select(F.col("h").alias("back"), F.col("back").alias("back2"), F.col("far").alias("far2"))
+            step = back.join(far, "back", "left")
+            step = step.select("h", F.coalesce("back2", "back").alias("back"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("back2").isNotNull().alias("moved"))
+            back = keep(step.coalesce(parts))
+            if back.where("moved").isEmpty():
+                break
+            back = back.drop("moved")
+        paths = back.groupBy(F.col("back").alias("h")).agg((F.max("far") + kmer).cast("int").alias("length"))
+        return cut(paths.where(F.col("length") >= window))
 
 
 def _path_windows(window: int, kmer: int, block: int = 1 << 18):
-    """Documents with the places of their repeated edges to rows of windows. A row holds the
-    consecutive windows of one document that share their least edge (m): first place and
-    hashes. Windows that a smaller document of the same block has are settled: they go on
+    """Documents with the places of their repeated nodes, and the lengths of the paths that
+    start there, to rows of spans. A row holds one path of a document with the hashes of all
+    its words, or consecutive windows outside of paths that share their least node (m), with
+    the hashes of each. What a smaller document of the same block has is settled: it goes on
     as ranges, without hashes."""
 
     def settle(rows):
-        m, h1, h2, did, rid, pos = (np.concatenate(x) for x in zip(*rows))
-        order = np.lexsort((did, h2, h1))
-        s1, s2, sd = h1[order], h2[order], did[order]
-        first = _runs(s1, s2)
+        m, h1, h2, did, rid, start, end = (np.concatenate(x) for x in zip(*rows))
+        order = np.lexsort((did, h2, h1, m))
+        sm, s1, s2, sd = m[order], h1[order], h2[order], did[order]
+        first = _runs(sm, s1, s2)
         size = np.diff(np.r_[first, len(s1)])
         later = np.empty(len(s1), dtype=bool)
         later[order] = sd > np.repeat(sd[first], size)
-        d, r, s, e = _ranges(did[later], rid[later], pos[later], pos[later])
+        d, r, s, e = _ranges(did[later], rid[later], start[later], end[later])
         none = pa.array([b""] * len(d), pa.binary())
         if len(d):
             yield _record(m=mix64(r.view(np.uint64) + s.astype(np.uint64)), did=d, rid=r, start=s.astype(np.int32), end=e.astype(np.int32), hashes=none)
         left = np.flatnonzero(~later)
-        left = left[np.lexsort((pos[left], rid[left], did[left]))]
-        m, did, rid, pos = m[left], did[left], rid[left], pos[left]
+        left = left[np.lexsort((start[left], rid[left], did[left]))]
+        m, did, rid, start, end = m[left], did[left], rid[left], start[left], end[left]
         data = np.stack([h1[left], h2[left]], axis=1)
+        long_ = end > start
         new = np.ones(len(left), dtype=bool)
-        new[1:] = (did[1:] != did[:-1]) | (rid[1:] != rid[:-1]) | (pos[1:] != pos[:-1] + 1) | (m[1:] != m[:-1])
+        new[1:] = (did[1:] != did[:-1]) | (rid[1:] != rid[:-1]) | (start[1:] != start[:-1] + 1) | (m[1:] != m[:-1]) | long_[1:] | long_[:-1]
         i = np.flatnonzero(new)
         ends = np.r_[i[1:], len(left)]
         offsets = np.r_[i, len(left)].astype(np.int64) * 16
@@ -255,7 +310,7 @@ def _path_windows(window: int, kmer: int, block: int = 1 << 18):
             off = offsets[k : k + 20_001]
             blob = data[i[k] : ends[j][-1]].tobytes()
             binary = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off - off[0]).astype(np.int32).tobytes()), pa.py_buffer(blob)])
-            yield _record(m=m[i[j]], did=did[i[j]], rid=rid[i[j]], start=pos[i[j]].astype(np.int32), end=(pos[i[j]] + ends[j] - i[j] - 1).astype(np.int32), hashes=binary)
+            yield _record(m=m[i[j]], did=did[i[j]], rid=rid[i[j]], start=start[i[j]].astype(np.int32), end=end[ends[j] - 1].astype(np.int32), hashes=binary)
 
     def run(batches):
         held, n = [], 0
@@ -263,17 +318,28 @@ def _path_windows(window: int, kmer: int, block: int = 1 << 18):
         for batch in batches:
             for part in slices(batch, "packed", 1 << 20, zstandard.frame_content_size):
                 texts = [unpack(x) for x in raw(part, "packed")]
-                w = Windows(texts, window, kmer)
+                w = Windows(texts, window, kmer, twice=True)
+                if not w.count:
+                    continue
                 spots = part.column(part.schema.get_field_index("spots"))
-                marked = spots.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                sizes = np.diff(spots.offsets.to_numpy())
-                own = np.repeat(np.arange(len(texts)), sizes)
-                at = w.having(marked + w.at[own])
-                if len(at):
-                    text = w.text[at]
-                    h1, h2 = w.hashes(at)
-                    held.append((w.least[at], h1, h2, _long(part, "did")[text], _long(part, "rid")[text], at - w.at[text]))
-                    n += len(at)
+                places = spots.flatten()
+                pos, length = (places.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "length"))
+                own = np.repeat(np.arange(len(texts)), np.diff(spots.offsets.to_numpy()))
+                pos = pos + w.at[own]
+                path = (length >= window) & (pos + length <= w.at[own + 1])
+                p, size = pos[path], length[path]
+                inside = np.zeros(w.count + 1, np.int64)
+                np.add.at(inside, p, 1)
+                np.add.at(inside, p + size - window + 1, -1)
+                at = w.having(pos)
+                at = at[np.cumsum(inside)[at] == 0]
+                start, end = np.r_[at, p], np.r_[at, p + size - window]
+                if len(start):
+                    text = w.text[start]
+                    # a path has a key of its own, apart from windows whose least node is its first
+                    m = np.r_[w.least[at], mix64(w.edge[p])]
+                    held.append((m, *w.hashes(start, end + window), _long(part, "did")[text], _long(part, "rid")[text], start - w.at[text], end - w.at[text]))
+                    n += len(start)
                 if n >= block:
                     yield from settle(held)
                     held, n = [], 0
@@ -284,24 +350,25 @@ def _path_windows(window: int, kmer: int, block: int = 1 << 18):
 
 
 def _first_seen(batches):
-    """Rows of windows sorted by m to ranges (did, rid, start, end) of windows that a
+    """Rows of spans sorted by m to ranges (did, rid, start, end) of windows that a
     smaller document has."""
     for b in _groups(batches, "m"):
-        did, rid, start, end = (_long(b, c) for c in ("did", "rid", "start", "end"))
+        m, did, rid, start, end = (_long(b, c) for c in ("m", "did", "rid", "start", "end"))
         blob = b.column(b.schema.get_field_index("hashes"))
-        n = np.diff(np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1]) // 16
+        at = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1]
+        n = np.diff(at) // 16
         done = n == 0
         parts = [(did[done], rid[done], start[done], end[done])]
-        at = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1]
         data = np.frombuffer(blob.buffers()[2], np.uint64, (at[-1] - at[0]) // 8, at[0]).reshape(-1, 2) if at[-1] > at[0] else np.empty((0, 2), np.uint64)
         if len(data):
             row = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n) + start[row]
-            order = np.lexsort((did[row], data[:, 1], data[:, 0]))
+            last = np.where(n[row] == 1, end[row], place)
+            order = np.lexsort((did[row], data[:, 1], data[:, 0], m[row]))
             h1, h2, d = data[order, 0], data[order, 1], did[row][order]
-            first = _runs(h1, h2)
+            first = _runs(m[row][order], h1, h2)
             later = order[d > np.repeat(d[first], np.diff(np.r_[first, len(h1)]))]
-            parts.append((did[row][later], rid[row][later], place[later], place[later]))
+            parts.append((did[row][later], rid[row][later], place[later], last[later]))
         d, r, s, e = _ranges(*(np.concatenate(x) for x in zip(*parts)))
         if len(d):
             yield _record(did=d, rid=r, start=s.astype(np.int32), end=e.astype(np.int32))
@@ -351,9 +418,12 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts as the largest; rows of one id do not remove each other's words, whether equal or
     not. An empty table gives no rows. Other columns are ignored.
 
-    Shuffled are: about one minimiser edge in 18 words, once; texts (compressed) twice; and
-    16 bytes for each window whose minimiser edge two documents share. A passage that very
-    many documents hold is reduced to one row a block of each task before the shuffle.
+    Shuffled are: about one minimiser in 18 words, once; those that two documents share once
+    more, reduced to nodes, and once to join their documents; texts (compressed) twice; and 16
+    bytes for each path of a document, and for each window outside of paths whose minimiser
+    two documents share. A passage that very many documents hold is reduced to one row a
+    block of each task before the shuffle. The places of shared minimisers stay as a table in
+    the shared folder.
     """
     if not 1 <= kmer < window:
         raise ValueError("an edge must be shorter than a window")
@@ -361,11 +431,12 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias("id"), ordered(F.col(id_col)).alias("did"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    edges = base.select("did", "rid", "text").mapInArrow(_edges(window, kmer), "h long, did long, rid long, pos int, known byte")
-    places = edges.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeated, "did long, rid long, pos int")
-    paths = places.groupBy("did", "rid").agg(F.collect_list("pos").alias("spots"))
+    places = _shared_places(base, window, kmer)
+    paths = few(_long_paths(places, window, kmer))
+    spots = places.select("h", "did", "rid", "pos").join(paths, "h", "left").select("did", "rid", F.struct("pos", F.coalesce("length", F.lit(0)).alias("length")).alias("spot"))
+    spots = spots.groupBy("did", "rid").agg(F.collect_set("spot").alias("spots"))
     packed = base.mapInArrow(_pack, f"id {kind}, did long, rid long, packed binary")
-    windows = packed.join(paths, ["did", "rid"]).select("did", "rid", "packed", "spots").mapInArrow(_path_windows(window, kmer), "m long, did long, rid long, start int, end int, hashes binary")
+    windows = packed.join(spots, ["did", "rid"]).select("did", "rid", "packed", "spots").mapInArrow(_path_windows(window, kmer), "m long, did long, rid long, start int, end int, hashes binary")
     ranges = windows.repartition(n, "m").sortWithinPartitions("m").mapInArrow(_first_seen, "did long, rid long, start int, end int")
     removed = ranges.groupBy("did", "rid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     out = packed.join(removed, ["did", "rid"], "left").select("id", "packed", "ranges").mapInArrow(_cut_texts(window), f"id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
