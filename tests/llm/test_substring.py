@@ -45,6 +45,13 @@ def test_paths_end_at_branches(spark):
     assert lengths([apart, say(200)]) == []
 
 
+def test_frequent_passage_between_different_words(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randrange(40)}" for _ in range(n))
+    line, ends = say(47), [say(3) for _ in range(9)]
+    check(spark, [(i, f"{say(20)} {rng.choice(ends)} {line} {rng.choice(ends)} {say(20)}") for i in range(300)])
+
+
 def test_empty_and_test_table(spark, sf_dir):
     check(spark, [])
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]

@@ -247,6 +247,13 @@ def _shared_places(base: DataFrame, window: int, kmer: int) -> DataFrame:
     return spark.read.schema(repeated.schema).parquet(path)
 
 
+def _frequent(places: DataFrame, tasks: int) -> np.ndarray:
+    """The nodes that hold more than one in 4 * tasks of all places: fewer than 4 * tasks."""
+    most = places.count() / (4 * tasks)
+    found = places.groupBy("h").count().where(F.col("count") > most).collect()
+    return np.array([r.h for r in found], dtype=np.int64).view(np.uint64)
+
+
 def _long_paths(places: DataFrame, window: int, kmer: int, part_rows: int = 500_000) -> DataFrame:
     """(h, length): the first node of every nonbranching path of `window` words or more, and
     how many words it has.
@@ -276,11 +283,12 @@ def _long_paths(places: DataFrame, window: int, kmer: int, part_rows: int = 500_
         return cut(paths.where(F.col("length") >= window))
 
 
-def _path_windows(window: int, kmer: int, block: int = 1 << 18):
+def _path_windows(window: int, kmer: int, frequent: np.ndarray, block: int = 1 << 18):
     """Documents with the places of their repeated nodes, and the lengths of the paths that
     start there, to rows of spans. A row holds one path of a document with the hashes of all
     its words, or consecutive windows outside of paths that share their least node (m), with
-    the hashes of each. What a smaller document of the same block has is settled: it goes on
+    the hashes of each. Windows around a frequent node are rows of their own, dealt by window.
+    What a smaller document of the same block has is settled: it goes on
     as ranges, without hashes."""
 
     def settle(rows):
@@ -338,7 +346,10 @@ def _path_windows(window: int, kmer: int, block: int = 1 << 18):
                     text = w.text[start]
                     # a path has a key of its own, apart from windows whose least node is its first
                     m = np.r_[w.least[at], mix64(w.edge[p])]
-                    held.append((m, *w.hashes(start, end + window), _long(part, "did")[text], _long(part, "rid")[text], start - w.at[text], end - w.at[text]))
+                    h1, h2 = w.hashes(start, end + window)
+                    split = np.flatnonzero(np.isin(m, frequent))
+                    m[split] = mix64(m[split] ^ h1[split])
+                    held.append((m, h1, h2, _long(part, "did")[text], _long(part, "rid")[text], start - w.at[text], end - w.at[text]))
                     n += len(start)
                 if n >= block:
                     yield from settle(held)
@@ -422,7 +433,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more, reduced to nodes, and once to join their documents; texts (compressed) twice; and 16
     bytes for each path of a document, and for each window outside of paths whose minimiser
     two documents share. A passage that very many documents hold is reduced to one row a
-    block of each task before the shuffle. The places of shared minimisers stay as a table in
+    block of each task before the shuffle; the different windows around a node that very many
+    documents hold are dealt each by itself. The places of shared minimisers stay as a table in
     the shared folder.
     """
     if not 1 <= kmer < window:
@@ -433,10 +445,11 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = base.schema["id"].dataType.simpleString()
     places = _shared_places(base, window, kmer)
     paths = few(_long_paths(places, window, kmer))
+    frequent = _frequent(places, n)
     spots = places.select("h", "did", "rid", "pos").join(paths, "h", "left").select("did", "rid", F.struct("pos", F.coalesce("length", F.lit(0)).alias("length")).alias("spot"))
     spots = spots.groupBy("did", "rid").agg(F.collect_set("spot").alias("spots"))
     packed = base.mapInArrow(_pack, f"id {kind}, did long, rid long, packed binary")
-    windows = packed.join(spots, ["did", "rid"]).select("did", "rid", "packed", "spots").mapInArrow(_path_windows(window, kmer), "m long, did long, rid long, start int, end int, hashes binary")
+    windows = packed.join(spots, ["did", "rid"]).select("did", "rid", "packed", "spots").mapInArrow(_path_windows(window, kmer, frequent), "m long, did long, rid long, start int, end int, hashes binary")
     ranges = windows.repartition(n, "m").sortWithinPartitions("m").mapInArrow(_first_seen, "did long, rid long, start int, end int")
     removed = ranges.groupBy("did", "rid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     out = packed.join(removed, ["did", "rid"], "left").select("id", "packed", "ranges").mapInArrow(_cut_texts(window), f"id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
