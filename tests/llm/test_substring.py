@@ -50,6 +50,7 @@ def test_frequent_passage_between_different_words(spark):
     say = lambda n: " ".join(f"w{rng.randrange(40)}" for _ in range(n))
     line, ends = say(47), [say(3) for _ in range(9)]
     check(spark, [(i, f"{say(20)} {rng.choice(ends)} {line} {rng.choice(ends)} {say(20)}") for i in range(300)])
+    check(spark, [(rng.randrange(40), f"{say(rng.randrange(9))} {'la di ' * rng.randrange(20, 70)}{say(30)}") for _ in range(120)])
 
 
 def test_empty_and_test_table(spark, sf_dir):

@@ -287,12 +287,13 @@ def _path_windows(window: int, kmer: int, frequent: np.ndarray, block: int = 1 <
     """Documents with the places of their repeated nodes, and the lengths of the paths that
     start there, to rows of spans. A row holds one path of a document with the hashes of all
     its words, or consecutive windows outside of paths that share their least node (m), with
-    the hashes of each. Windows around a frequent node are rows of their own, dealt by window.
+    the hashes of each. Windows around a frequent node are dealt by window: a row holds one of a
+    document, and the places where it comes again (again).
     What a smaller document of the same block has is settled: it goes on
     as ranges, without hashes."""
 
     def settle(rows):
-        m, h1, h2, did, rid, start, end = (np.concatenate(x) for x in zip(*rows))
+        m, h1, h2, did, rid, start, end, alone = (np.concatenate(x) for x in zip(*rows))
         order = np.lexsort((did, h2, h1, m))
         sm, s1, s2, sd = m[order], h1[order], h2[order], did[order]
         first = _runs(sm, s1, s2)
@@ -302,8 +303,17 @@ def _path_windows(window: int, kmer: int, frequent: np.ndarray, block: int = 1 <
         d, r, s, e = _ranges(did[later], rid[later], start[later], end[later])
         none = pa.array([b""] * len(d), pa.binary())
         if len(d):
-            yield _record(m=mix64(r.view(np.uint64) + s.astype(np.uint64)), did=d, rid=r, start=s.astype(np.int32), end=e.astype(np.int32), hashes=none)
-        left = np.flatnonzero(~later)
+            yield _record(m=mix64(r.view(np.uint64) + s.astype(np.uint64)), did=d, rid=r, start=s.astype(np.int32), end=e.astype(np.int32), hashes=none, again=none)
+        left = np.flatnonzero(~later & alone)
+        left = left[np.lexsort((start[left], rid[left], did[left], h2[left], h1[left], m[left]))]
+        i = _runs(m[left], h1[left], h2[left], did[left], rid[left])
+        ends, places = np.r_[i[1:], len(left)], start[left].astype(np.int32)
+        for k in range(0, len(i), 20_000):
+            f = left[i[k : k + 20_000]]
+            hashes = [x.tobytes() for x in np.stack([h1[f], h2[f]], axis=1)]
+            again = [places[a + 1 : b].tobytes() for a, b in zip(i[k : k + 20_000], ends[k : k + 20_000])]
+            yield _record(m=m[f], did=did[f], rid=rid[f], start=start[f].astype(np.int32), end=start[f].astype(np.int32), hashes=pa.array(hashes, pa.binary()), again=pa.array(again, pa.binary()))
+        left = np.flatnonzero(~later & ~alone)
         left = left[np.lexsort((start[left], rid[left], did[left]))]
         m, did, rid, start, end = m[left], did[left], rid[left], start[left], end[left]
         data = np.stack([h1[left], h2[left]], axis=1)
@@ -318,7 +328,7 @@ def _path_windows(window: int, kmer: int, frequent: np.ndarray, block: int = 1 <
             off = offsets[k : k + 20_001]
             blob = data[i[k] : ends[j][-1]].tobytes()
             binary = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off - off[0]).astype(np.int32).tobytes()), pa.py_buffer(blob)])
-            yield _record(m=m[i[j]], did=did[i[j]], rid=rid[i[j]], start=start[i[j]].astype(np.int32), end=end[ends[j] - 1].astype(np.int32), hashes=binary)
+            yield _record(m=m[i[j]], did=did[i[j]], rid=rid[i[j]], start=start[i[j]].astype(np.int32), end=end[ends[j] - 1].astype(np.int32), hashes=binary, again=pa.array([b""] * len(binary), pa.binary()))
 
     def run(batches):
         held, n = [], 0
@@ -347,9 +357,9 @@ def _path_windows(window: int, kmer: int, frequent: np.ndarray, block: int = 1 <
                     # a path has a key of its own, apart from windows whose least node is its first
                     m = np.r_[w.least[at], mix64(w.edge[p])]
                     h1, h2 = w.hashes(start, end + window)
-                    split = np.flatnonzero(np.isin(m, frequent))
-                    m[split] = mix64(m[split] ^ h1[split])
-                    held.append((m, h1, h2, _long(part, "did")[text], _long(part, "rid")[text], start - w.at[text], end - w.at[text]))
+                    alone = (start == end) & np.isin(m, frequent)
+                    m[alone] = mix64(m[alone] ^ h1[alone])
+                    held.append((m, h1, h2, _long(part, "did")[text], _long(part, "rid")[text], start - w.at[text], end - w.at[text], alone))
                     n += len(start)
                 if n >= block:
                     yield from settle(held)
@@ -380,6 +390,12 @@ def _first_seen(batches):
             first = _runs(m[row][order], h1, h2)
             later = order[d > np.repeat(d[first], np.diff(np.r_[first, len(h1)]))]
             parts.append((did[row][later], rid[row][later], place[later], last[later]))
+            again = raw(b, "again")
+            hit = [r for r in np.unique(row[later]).tolist() if again[r]]
+            if hit:
+                own = np.repeat(hit, [len(again[r]) // 4 for r in hit])
+                other = np.frombuffer(b"".join(again[r] for r in hit), np.int32).astype(np.int64)
+                parts.append((did[own], rid[own], other, other))
         d, r, s, e = _ranges(*(np.concatenate(x) for x in zip(*parts)))
         if len(d):
             yield _record(did=d, rid=r, start=s.astype(np.int32), end=e.astype(np.int32))
@@ -434,7 +450,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bytes for each path of a document, and for each window outside of paths whose minimiser
     two documents share. A passage that very many documents hold is reduced to one row a
     block of each task before the shuffle; the different windows around a node that very many
-    documents hold are dealt each by itself. The places of shared minimisers stay as a table in
+    documents hold are dealt each by itself, one row for all its places in a document. The places of shared minimisers stay as a table in
     the shared folder.
     """
     if not 1 <= kmer < window:
@@ -449,7 +465,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spots = places.select("h", "did", "rid", "pos").join(paths, "h", "left").select("did", "rid", F.struct("pos", F.coalesce("length", F.lit(0)).alias("length")).alias("spot"))
     spots = spots.groupBy("did", "rid").agg(F.collect_set("spot").alias("spots"))
     packed = base.mapInArrow(_pack, f"id {kind}, did long, rid long, packed binary")
-    windows = packed.join(spots, ["did", "rid"]).select("did", "rid", "packed", "spots").mapInArrow(_path_windows(window, kmer, frequent), "m long, did long, rid long, start int, end int, hashes binary")
+    windows = packed.join(spots, ["did", "rid"]).select("did", "rid", "packed", "spots").mapInArrow(_path_windows(window, kmer, frequent), "m long, did long, rid long, start int, end int, hashes binary, again binary")
     ranges = windows.repartition(n, "m").sortWithinPartitions("m").mapInArrow(_first_seen, "did long, rid long, start int, end int")
     removed = ranges.groupBy("did", "rid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     out = packed.join(removed, ["did", "rid"], "left").select("id", "packed", "ranges").mapInArrow(_cut_texts(window), f"id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
