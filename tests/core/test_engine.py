@@ -62,6 +62,12 @@ def test_edges_of_features(spark):
     assert abs(rows[6].f5 - 5 / 1440) < 1e-7
 
 
+def test_clamped_minus_zero_is_zero(spark):
+    rows = spark.createDataFrame([(x,) for x in (-0.0, 0.0, float("nan"), -1.0, 0.5, 2.0, float("inf"), float("-inf"))], "x float")
+    got = np.array([r.y for r in rows.select(X.clamp01(F.col("x")).alias("y")).collect()])
+    assert got.tolist() == [0, 0, 0, 0, 0.5, 1, 1, 0] and not np.signbit(got).any()
+
+
 def test_broken_bodies_are_invalid(spark):
     text = json.dumps(LEGIT)
     good = [text, json.dumps(changed(extra=[1])), json.dumps({k: v for k, v in LEGIT.items() if k != "last_transaction"}), json.dumps(changed(last_transaction=LAST)), json.dumps(changed(transaction={"amount": 5}))]
