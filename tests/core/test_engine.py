@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vireo.functions import features as X
 from vireo.functions.features import FEATURES, QUANTS
-from vireo.operators import clusters, ivf, report
+from vireo.operators import clusters, ivf, nearest, report
 from vireo.operators.nearest import nearest_exact, nearest_sql, top_k, votes
 from vireo.plans.catalog import bodies
 from vireo.plans.engine import BuildConfig, Engine, build_config, prepare_references, prepare_transactions, search_config, timeout_micros
@@ -141,6 +141,41 @@ def test_kernel_is_the_sql_and_blocks_do_not_matter(spark):
     assert keys(nearest_exact(q, engine.references)) == want == keys(nearest_exact(q, engine.references.repartition(9), block=17))
 
 
+def test_exact_search_compares_few_pairs(spark):
+    rng = np.random.default_rng(3)
+    n = 6000
+    refs = rng.integers(0, 10_000, (n, 14)) * (rng.random(14) < 0.3)
+    refs[n // 2 :] = refs[: n // 2]  # copies, so that ids decide
+    refs[:9] = 77
+    ids, labels = rng.permutation(n), rng.integers(0, 2, n)
+    asked = np.r_[refs[::20], refs[:3] + 1]
+    tree = nearest._Tree(refs, ids, labels, 5)
+    dist, ref, label, row = tree.search(asked)
+    assert tree.compared < 0.3 * len(asked) * n
+    d = ((asked[:, None, :] - refs[None]) ** 2).sum(2)
+    for i in range(len(asked)):
+        at = np.lexsort((ids, d[i]))[:5]
+        own = np.flatnonzero(row == i)
+        own = own[np.lexsort((ref[own], dist[own]))][:5]
+        assert ref[own].tolist() == ids[at].tolist() and dist[own].tolist() == d[i][at].tolist() and label[own].tolist() == labels[at].tolist()
+
+
+def test_points_with_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(nearest, "_ODD", np.zeros(64, np.int64))
+    points = np.array([[1, 2], [3, 4], [1, 2], [3, 5]])
+    assert len(set(nearest._classes(points).tolist())) == 3
+    assert sorted(nearest._first_of_equal(points, np.array([9, 8, 7, 6]), 1).tolist()) == [1, 2, 3]
+
+
+def test_many_blocks_give_the_rows_of_one(spark):
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 60, (900, 14))
+    rows = spark.createDataFrame([(i, int(i % 2), *map(int, v)) for i, v in enumerate(values)], "ref_id long, label int, " + ", ".join(f"{q} int" for q in QUANTS))
+    asked = rows.where("ref_id % 20 = 0").withColumnRenamed("ref_id", "qid")
+    want = sorted(nearest_sql(asked, rows).collect())
+    assert sorted(nearest_exact(asked, rows, block=40).select(*nearest_sql(asked, rows).columns).collect()) == want
+
+
 def test_layout_and_repair(spark):
     engine, q = random_index(spark)
     rows = engine.index.clusters.orderBy("cid").collect()
