@@ -3,6 +3,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,33 @@ def test_many_blocks_give_the_rows_of_one(spark):
     assert sorted(nearest_exact(asked, rows, block=40).select(*nearest_sql(asked, rows).columns).collect()) == want
 
 
+def test_parts_of_blocks_go_between_tasks(spark):
+    """A task sends a row for each block, not for each point; parts hold the numbers as they were."""
+    rng = np.random.default_rng(5)
+    points = rng.integers(-10_000, 10_001, (400, 14))
+    rows = [(int(1 << 40) + i, int(i % 2), *map(int, p)) for i, p in enumerate(points)]
+    refs = spark.createDataFrame(rows, "ref_id long, label long, " + ", ".join(f"{q} int" for q in QUANTS)).repartition(3)
+    nodes = nearest._planes(points, 4)
+    parts = nearest._blocked(refs, nodes, 5).toArrow()
+    assert parts.num_rows <= 3 * 4 and sum(parts["n"].to_pylist()) == 400
+    ids, got, column = nearest._opened(parts)
+    assert sorted(zip(ids.tolist(), column("labels").tolist(), got.tolist())) == [(r[0], r[1], list(r[2:])) for r in rows]
+    for numbers in ([], [0], [-128, 127], [128], [-32769], [1 << 31], [np.iinfo(np.int64).max]):
+        n = np.array(numbers, np.int64)
+        assert nearest._numbers(pa.array([nearest._bytes(n)] * min(1, len(n))), [len(n)] * min(1, len(n))).tolist() == numbers
+
+
+def test_merchant_is_that_of_the_json(spark):
+    """Text that is cut without a parser gives what the parser gives."""
+    from vireo.plans.adapters import _merchant
+
+    texts = ['{"k": 7}', '{"k": 0}', '{"k": 999999999}', '{"k": 2147483647}', '{"k": 07}', '{"k": -3}', '{"k":5}', '{"k": 5}\n', ' {"k": 5}', '{"k": "5"}', '{"k": 5, "j": 1}', '{"j": 5}', '{"k": null}', '{"k": }', "{", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, props string")
+    got = df.select("i", _merchant(F.col("props")).alias("a"), F.get_json_object("props", "$.k").cast("int").alias("b")).collect()
+    assert all(r.a == r.b for r in got), [(texts[r.i], r.a, r.b) for r in got if r.a != r.b]
+    assert sum(r.a is not None for r in got) >= 9
+
+
 def test_layout_and_repair(spark):
     engine, q = random_index(spark)
     rows = engine.index.clusters.orderBy("cid").collect()
