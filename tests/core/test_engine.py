@@ -204,6 +204,15 @@ def test_merchant_is_that_of_the_json(spark):
     assert sum(r.a is not None for r in got) >= 9
 
 
+def test_scored_bodies_make_the_transactions_once(spark, sf_dir, monkeypatch):
+    from vireo.plans import catalog
+
+    made, real = [], catalog.transactions
+    monkeypatch.setattr(catalog, "transactions", lambda *a: made.append(a) or real(*a))
+    assert catalog.score_bodies(spark, sf_dir).count() > 0
+    assert len(made) == 1
+
+
 def test_layout_and_repair(spark):
     engine, q = random_index(spark)
     rows = engine.index.clusters.orderBy("cid").collect()
