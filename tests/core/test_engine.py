@@ -213,6 +213,80 @@ def test_scored_bodies_make_the_transactions_once(spark, sf_dir, monkeypatch):
     assert len(made) == 1
 
 
+def test_points_of_leaves_are_those_of_nested_transactions(spark, sf_dir):
+    from vireo.plans import adapters, catalog
+
+    flat = catalog._points(spark, sf_dir).select("qid", "label", *FEATURES, *QUANTS)
+    t = adapters.transactions(spark, sf_dir)
+    other = X.with_quants(t.select("qid", X.label_code(F.col("label")).alias("label"), *X.vector()))
+    assert sorted(flat.collect()) == sorted(other.collect())
+    kept = catalog._whole(catalog._points(spark, sf_dir)).select("qid", "label", *QUANTS)
+    assert sorted(kept.collect()) == sorted(flat.select("qid", "label", *QUANTS).collect())
+
+
+def test_events_meet_by_user_only(spark, sf_dir, monkeypatch):
+    """Rows are not dealt by merchant if merchants are few, and are right if they are many."""
+    from vireo.plans import adapters
+
+    few = adapters._events(spark, sf_dir)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(user_id" in plan and plan.count("Sort [") == 1
+    monkeypatch.setattr(adapters, "_MOST_SHOPS", 3)
+    many = adapters._events(spark, sf_dir)
+    assert "Exchange hashpartitioning(k" in many._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(df.withColumn("known", F.sort_array("known")).select(sorted(df.columns)).collect(), key=lambda r: r.event_id)
+    assert rows(few) == rows(many)
+
+
+def test_events_without_time_user_or_merchant(spark, tmp_path):
+    """The day of an event without a time has the user's other such events."""
+    from vireo.plans import adapters
+
+    rows = [(0, None, 1, "view", 1.0, '{"k": 2}'), (1, None, 1, "purchase", 2.0, '{"k": 3}'), (2, "2024-01-01 00:00:00", 1, "view", 4.0, '{"k": 3}'),
+            (3, "2024-01-02 00:00:00", 1, "view", 5.0, '{"k": 2}'), (4, "2024-01-02 00:00:00.000001", 1, "error", 6.0, '{"k": 2}'),
+            (5, "2024-01-02 00:00:00", None, "view", 7.0, '{"k": 2}'), (6, "2024-01-02 00:00:01", 1, "purchase", 8.0, "{}")]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.qid: r for r in adapters.transactions(spark, str(tmp_path)).collect()}
+    assert {i: r.customer.tx_count_24h for i, r in got.items()} == {0: 2, 1: 2, 2: 1, 3: 2, 4: 2}
+    assert all(r.customer.known_merchants == ["M3"] for r in got.values())
+    assert got[2].customer.avg_amount == pytest.approx(26 / 6) and got[2].merchant.avg_amount == 3.0 and got[3].merchant.avg_amount == 4.75
+
+
+def test_points_are_packed_whole(spark):
+    for kind, ends in (("short", (-(2**15), 2**15 - 1)), ("int", (-(2**31), 2**31 - 1))):
+        rows = [[v if j == i else other for j in range(14)] for i in range(14) for v in ends for other in (0, -1)]
+        df = spark.createDataFrame(rows, ", ".join(f"{q} {kind}" for q in QUANTS))
+        words, bits = X.packed(df)
+        assert len(words) == (4 if kind == "short" else 7)
+        back = df.select(*words).select(*X.unpacked(bits))
+        assert back.dtypes == df.dtypes and [list(r) for r in back.collect()] == rows
+
+
+def test_search_takes_short_and_int_points_alike(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(2)), *map(int, rng.integers(-10_000, 10_001, 14))) for i in range(400)]
+    refs = spark.createDataFrame(rows, "ref_id long, label int, " + ", ".join(f"{q} int" for q in QUANTS))
+    short = refs.select("ref_id", "label", *[F.col(q).cast("short").alias(q) for q in QUANTS])
+    asked = lambda df: df.where("ref_id % 20 = 0").withColumnRenamed("ref_id", "qid")
+    found = [sorted(nearest_exact(asked(q), r, block=100).collect()) for q in (refs, short) for r in (refs, short)]
+    assert len(found[0]) == 100 and all(f == found[0] for f in found)
+
+
+def test_written_bodies_need_no_python(spark, monkeypatch):
+    """Bodies as request_text makes them are judged without Python, others by it."""
+    from vireo.sources import requests
+
+    asked = F.udf(lambda text: False if text is None else None, "boolean")  # null for what Python is asked
+    text = json.dumps(changed(last_transaction=LAST), separators=(",", ":"))
+    request = parsed(spark, [text]).select("request.*")
+    body = request.select(requests.request_text(request.columns).alias("body")).first().body
+    other = ['{"extra":1,' + body[1:], body.replace('"installments":2', '"installments":2,"installments":2'), body + " x", "not json"]
+    df = spark.createDataFrame(list(enumerate([body, *other])), "qid long, body string")
+    monkeypatch.setattr(requests, "_strict", asked)
+    assert [r.valid for r in requests.parse_requests(df).orderBy("qid").collect()] == [True, None, None, None, False]
+
+
 def test_layout_and_repair(spark):
     engine, q = random_index(spark)
     rows = engine.index.clusters.orderBy("cid").collect()
