@@ -11,7 +11,7 @@ from vireo.functions import features as X
 from vireo.functions.features import FEATURES, QUANTS
 from vireo.operators import clusters, ivf, nearest, report
 from vireo.operators.nearest import nearest_exact, nearest_sql, top_k, votes
-from vireo.plans.catalog import bodies
+from vireo.plans.catalog import QUERIES, bodies
 from vireo.plans.engine import BuildConfig, Engine, build_config, prepare_references, prepare_transactions, search_config, timeout_micros
 from vireo.sources import binary
 from vireo.sources.requests import parse_requests, read_payloads, read_references
@@ -308,6 +308,20 @@ def test_layout_and_repair(spark):
     assert got.payloads == 60 and got.score_mismatches == sum(exact_rows[k] != fast[k][0] for k in fast)
 
 
+def test_every_row_is_compared(spark, sf_dir):
+    got = QUERIES["compare_scores"](spark, sf_dir).first()
+    assert got.payloads == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_equal_points_are_compared_as_often_as_they_are(spark):
+    a = spark.createDataFrame([(0, 1), (1, 3), (2, 5)], "qid long, votes int")
+    b = spark.createDataFrame([(0, 1), (1, 2), (2, 4)], "qid long, votes int")
+    copies = spark.createDataFrame([(0, 4), (1, 3), (2, 2)], "qid long, copies long")
+    assert tuple(report.compare_scores(a, b, copies).first()) == (9, 5, 3, 1, 23, 18)
+    assert tuple(report.compare_scores(a, b).first()) == (3, 2, 1, 1, 9, 7)
+    assert tuple(report.compare_scores(a.limit(0), b, copies).first()) == (0,) * 6
+
+
 def test_save_load_and_binary(spark):
     engine, q = random_index(spark, 300, 6)
     want = sorted(map(tuple, engine.vote(q).collect()))

@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from vireo.functions.features import approved, score
 
 
-def compare_scores(a: DataFrame, b: DataFrame) -> DataFrame:
+def compare_scores(a: DataFrame, b: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """One row for the scores (qid, votes) of the same requests by two indexes: requests, those
-    with another score, those with another decision, fraud scores of each, greatest difference."""
+    with another score, those with another decision, fraud scores of each, greatest difference.
+    With `copies` (qid, copies) a request counts as often as that says."""
     both = a.select("qid", F.col("votes").alias("a")).join(b.select("qid", F.col("votes").alias("b")), "qid")
+    both = both.withColumn("copies", F.lit(1)) if copies is None else both.join(copies.select("qid", "copies"), "qid")
     gap = F.abs(score(F.col("a")) - score(F.col("b")))
+    total = lambda x: F.coalesce(F.sum(x * F.col("copies")), F.lit(0)).cast("long")
     return both.agg(
-        F.count("*").alias("payloads"),
-        F.count_if(gap > F.lit(1.1920929e-07).cast("float")).alias("score_mismatches"),
-        F.count_if(approved(F.col("a")) != approved(F.col("b"))).alias("decision_mismatches"),
+        total(F.lit(1)).alias("payloads"),
+        total((gap > F.lit(1.1920929e-07).cast("float")).cast("int")).alias("score_mismatches"),
+        total((approved(F.col("a")) != approved(F.col("b"))).cast("int")).alias("decision_mismatches"),
         F.coalesce(F.max(F.abs(F.col("a") - F.col("b"))), F.lit(0)).cast("int").alias("max_vote_delta"),
-        F.coalesce(F.sum("a"), F.lit(0)).cast("long").alias("votes_a"),
-        F.coalesce(F.sum("b"), F.lit(0)).cast("long").alias("votes_b"),
+        total(F.col("a")).alias("votes_a"),
+        total(F.col("b")).alias("votes_b"),
     )
 
 
